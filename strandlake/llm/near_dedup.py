@@ -190,6 +190,9 @@ class NearDuplicates:
             keys.join(buckets, "key").where("rep <> hub").select("key", "members", "hub", "rep"),
             "stars",
         )
+        # texts move once: later steps only look at documents that share a bucket
+        sharing = stars.select("rep").unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
+        texts = stored(texts.join(sharing, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
         pairs = stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         confirmed = stored(self.verify(pairs, sizes, texts), "confirmed")
         node = stored(connected_components(confirmed, "a", "b"), "nodes")
@@ -207,7 +210,7 @@ class NearDuplicates:
 
     def prefix_pairs(self, active: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs of different components that may reach the threshold; complete by the prefix bound."""
-        rows = stored(active.join(texts, "rep").dropDuplicates(["rep"]), "active")
+        rows = stored(active.join(texts, "rep"), "active")
         counts = np.zeros(ORDER_SLOTS, np.int64)
         slots = rows.mapInArrow(_order_counts(self.width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         for slot, n in slots.collect():  # at most ORDER_SLOTS rows
@@ -229,10 +232,8 @@ class NearDuplicates:
         n_b = sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
         near = pairs.join(n_a, "a").join(n_b, "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)").select("a", "b")
         near = stored(near, "pairs")
-        wanted = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-        used = stored(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-        rows = near.join(used.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        rows = rows.join(used.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
+        rows = near.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        rows = rows.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
         return rows.mapInArrow(_verify(self.width, self.percent), "a long, b long")
 
 
