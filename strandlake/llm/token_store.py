@@ -32,28 +32,64 @@ from strandlake.llm.scratch import new_folder, ship_package, stored
 
 END_ID = 2
 #: Distinct pieces a worker remembers; beyond it, it begins anew.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 3_000_000
 #: Ids of a shard at most; a task begins another shard beyond it.
-SHARD_IDS = 1 << 24
+SHARD_IDS = 1 << 23
 _HEADER = "<4sHHQQQq"
 
 
+class _Memo:
+    """Ids of pieces by hash: sorted hashes, and each one's slice of a growing id buffer."""
+
+    def __init__(self, kind: np.dtype):
+        self.hash = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, kind), 0
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hash, hashes)
+        inside = at < len(self.hash)
+        known = np.zeros(len(hashes), bool)
+        known[inside] = self.hash[at[inside]] == hashes[inside]
+        return np.flatnonzero(~known)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New entries; ``hashes`` ascend."""
+        if self.used + len(ids) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(ids)), self.ids.dtype)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.hash, hashes)
+        self.hash = np.insert(self.hash, at, hashes)
+        self.slot = np.insert(self.slot, at, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.used += len(ids)
+
+    def slices(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hash, hashes)
+        return self.slot[at], self.size[at].astype(np.int64)
+
+
 class PieceCoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece once."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.split = special_splitter(list(self.specials)) if self.specials else None
         self.plain = Tokenizer.from_file(vocabulary)
-        self.plain.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.memo: dict[int, bytes] = {}
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.specials = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
+        self.split = special_splitter(list(self.specials)) if self.specials else None
+        self.plain.encode_special_tokens = True  # texts come without their strings
+        self.kind = np.dtype("<u4" if self.plain.get_vocab_size() > 1 << 16 else "<u2")
+        vocab = self.plain.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(self.plain.get_vocab_size() + 1, np.int64)
+        for token, i in vocab.items():  # a byte-level token has a character for each byte
+            self.token_bytes[i] = len(token)
+        self.memo = _Memo(self.kind)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of texts)."""
@@ -79,22 +115,45 @@ class PieceCoder:
         if len(start) == 0:
             return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
         hashes, first, inverse = np.unique(tk.span_hashes(flat.points, start, end), return_index=True, return_inverse=True)
-        hashes = hashes.tolist()
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo = self.memo
-        new = [k for k, h in enumerate(hashes) if h not in memo]
-        words = [flat.text[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)] if new else []
-        for k, coded in zip(new, self.plain.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            memo[hashes[k]] = np.array(coded.ids, self.kind).tobytes()
-        coded = [memo[h] for h in hashes]
-        size = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
-        table = np.frombuffer(b"".join(coded), self.kind)
-        place = np.concatenate(([0], np.cumsum(size)))
+        if len(self.memo.hash) > MEMO_PIECES:
+            self.memo = _Memo(self.kind)
+        new = self.memo.missing(hashes)
+        if len(new):
+            self.memo.add(hashes[new], *self._encode_pieces(flat, start[first[new]], end[first[new]]))
+        slot, size = self.memo.slices(hashes)
         per_piece = size[inverse]
-        ids = table[tk.ranges(place[inverse], per_piece)]
+        ids = self.memo.ids[tk.ranges(slot[inverse], per_piece)]
         return ids, np.concatenate(([0], np.cumsum(per_piece)))[at]
 
+    def _encode_pieces(self, flat: tk.CodePoints, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) from the library.
+
+        Blank-and-letters pieces go in as running text, which the library splits
+        before each blank; the bytes of their ids tell where they end.  Others go
+        in one by one.
+        """
+        points, n = flat.points, len(start)
+        second = np.minimum(start + 1, len(points) - 1)
+        plain = (end - start > 1) & (points[start] == 32) & (tk.point_classes()[points[second]] == tk.LETTER)
+        words = [flat.text[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        sizes = np.zeros(n, np.int64)
+        joined = np.flatnonzero(plain)
+        parts: list[np.ndarray] = []
+        for k in range(0, len(joined), 2000):
+            own = [words[i] for i in joined[k : k + 2000].tolist()]
+            ids = np.array(self.plain.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(w.encode()) for w in own])) + 1
+            sizes[joined[k : k + 2000]] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        other = np.flatnonzero(~plain)
+        coded = [c.ids for c in self.plain.encode_batch_fast([words[i] for i in other.tolist()], add_special_tokens=False)] if len(other) else []
+        sizes[other] = [len(c) for c in coded]
+        table = np.concatenate([*parts, np.array([i for c in coded for i in c], self.kind)])
+        order = np.concatenate((joined, other))
+        begin = np.zeros(n, np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return table[tk.ranges(begin, sizes)], sizes
+
 
 _coders: dict[str, PieceCoder] = {}
 
@@ -162,7 +221,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in tk.slices(batch):
+            for piece in tk.slices(batch, limit=tk.SLICE_BYTES // 2):
                 own, at = coder.encode(tk.text_column(piece.column("text")).to_pylist())
                 ends = at[1:]
                 ids.append(np.insert(own, ends, np.array(end_id, coder.kind)))
