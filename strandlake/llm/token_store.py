@@ -221,7 +221,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for piece in tk.slices(batch, limit=tk.SLICE_BYTES // 2):
+            for piece in tk.slices(batch, limit=tk.SLICE_BYTES):
                 own, at = coder.encode(tk.text_column(piece.column("text")).to_pylist())
                 ends = at[1:]
                 ids.append(np.insert(own, ends, np.array(end_id, coder.kind)))
