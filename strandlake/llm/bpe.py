@@ -29,7 +29,7 @@ from strandlake.llm.scratch import ship_package
 
 LEXICON_WORDS = 1 << 16
 #: Merged words that a worker remembers; beyond it, it begins anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 
 def byte_alphabet() -> list[str]:

@@ -16,9 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch stands in memory on both sides.
+BATCH_ROWS = 1000
+#: The C library of a worker gives freed arrays back instead of keeping them for the next stage.
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
+    """Let Python workers import this package from where the driver did, and keep their memory small."""
     env = spark.sparkContext.environment
+    for name, value in _MALLOC.items():
+        env.setdefault(name, value)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
