@@ -12,12 +12,12 @@ BASES = ("ACGT" * 7)[:26]
 READS_SQL = f"""select doc_id as seq_no, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') as sequence from documents"""
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_no, sequence) of every document: its letters a-z as nucleotides.
+def reads(spark: SparkSession, sf_dir: str, table: str = "documents", number: str = "doc_id") -> DataFrame:
+    """(seq_no, sequence) of every text: its letters a-z as nucleotides.
 
     The scan of a few large files is spread over the cores before the texts are
-    exploded, by the document's number.
+    exploded, by their numbers.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_no"), "text")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(number).alias("seq_no"), "text")
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return docs.repartition("seq_no").select("seq_no", F.translate(letters, LETTERS, BASES).alias("sequence"))
+    return rows.repartition("seq_no").select("seq_no", F.translate(letters, LETTERS, BASES).alias("sequence"))
