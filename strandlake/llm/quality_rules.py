@@ -102,10 +102,6 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
-def _shifted(a: Column, by: int) -> Column:
-    return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
-
-
 def _windows(w: Column) -> Column:
     """A hash of each 8-word window: of neighbouring pairs, of those two apart, of those four apart."""
     h = w
@@ -115,8 +111,12 @@ def _windows(w: Column) -> Column:
 
 
 def _pairs(a: Column, by: int) -> Column:
-    first = F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(0)))
-    return F.zip_with(first, _shifted(a, by), lambda x, y: F.xxhash64(x, y))
+    # the one-element array names ``a``, which is then computed once
+    def of(x: Column) -> Column:
+        n = F.greatest(F.size(x) - by, F.lit(0))
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, by + 1, n), lambda p, q: F.xxhash64(p, q))
+
+    return F.transform(F.array(a), of)[0]
 
 
 def _repeated_places(h: Column) -> Column:
