@@ -24,7 +24,7 @@ WINDOW = 20
 PERCENT = 80
 #: Kept positions of seeds, for items of at least LONG words and for shorter ones.
 LONG = 14
-MASKS = ((0, 2, 3, 4, 5), (0, 5, 6, 8, 9))
+MASKS = ((0, 2, 3, 4, 5), (0, 5, 6, 8, 9), (0, 1, 2, 5, 6))
 SHORT_MASKS = ((0, 1, 2),)
 #: Shorter items are too little evidence and match nothing.
 LEAST_WORDS = 8
