@@ -19,7 +19,7 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 #: Rows of an Arrow batch at most: texts are long, and a batch stands in memory on both sides.
 BATCH_ROWS = 1000
 #: The C library of a worker gives freed arrays back instead of keeping them for the next stage.
-_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2"}
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
 def ship_package(spark: SparkSession) -> None:
