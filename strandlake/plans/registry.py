@@ -12,6 +12,7 @@ from strandlake.functions.alphabet import DNA, DNAN, IUPAC
 from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned_text
 from strandlake.kmers import kmers
 from strandlake.operators import filters, graph, sketch, stores, tags, windows
+from strandlake.plans import io_queries
 from strandlake.plans.projection import READS_SQL, reads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,3 +371,7 @@ def vector_distances(spark, sf_dir):
     first = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("b"))
     d: Callable[[str], Column] = lambda m: (F.round(distances.distance(F.col("embedding"), F.col("b"), m), 5) + F.lit(0.0)).alias(m)
     return v.join(F.broadcast(first)).select("vec_id", *map(d, _VECTOR_SQL))
+
+
+QUERIES |= io_queries.QUERIES
+ORACLE_SQL |= io_queries.ORACLE_SQL
