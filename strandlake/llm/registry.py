@@ -10,6 +10,7 @@ from strandlake.llm.bpe import encode_documents
 from strandlake.llm.compaction import shard_documents
 from strandlake.llm.decontam import contaminated
 from strandlake.llm.near_dedup import near_duplicates
+from strandlake.llm.oracles import WARC_SQL, near_duplicates_sql, pii_sql
 from strandlake.llm.pii import pii_digest
 from strandlake.llm.quality_model import fit_quality, score_quality
 from strandlake.llm.quality_rules import quality_rules, rules_sql
@@ -88,4 +89,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": rules_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": WARC_SQL,
+    "op5_quality_rules": rules_sql(),
+    "op6_pii": pii_sql(),
+    "op10_near_dedup": near_duplicates_sql(),
+}
