@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,3 +105,20 @@ def distance(a: Column, b: Column, metric: str, *args) -> Column:
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     return METRICS[metric](a, b, *args)
+
+
+def rolling_distances(df: DataFrame, vector: str, order: str, sizes: Sequence[int] = (2, 4, 6, 8, 10), metrics: Sequence[str] = ("cosine",), by: Sequence[str] = ()) -> DataFrame:
+    """(*by, order, freq, metric, distance): each row against the one freq - 1 rows before it."""
+    frame = Window.partitionBy(*by).orderBy(order)
+    rows = df.select(*by, order, vector, *[F.lag(vector, n - 1).over(frame).alias(f"__{n}") for n in sizes])
+    each = [
+        F.struct(F.lit(n).alias("freq"), F.lit(m).alias("metric"), F.when(F.col(f"__{n}").isNotNull(), distance(F.col(f"__{n}"), F.col(vector), m)).alias("distance"))
+        for n in sizes
+        for m in metrics
+    ]
+    return rows.select(*by, order, F.explode(F.array(*each)).alias("x")).select(*by, order, "x.*").where("distance is not null")
+
+
+def distances_from(df: DataFrame, vector: str, reference: Sequence[float], metric: str = "cosine") -> DataFrame:
+    """df with ``distance`` from one reference vector, which is part of the plan."""
+    return df.withColumn("distance", distance(F.array(*map(F.lit, reference)), F.col(vector), metric))

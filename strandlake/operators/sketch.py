@@ -80,3 +80,15 @@ def partition_sketch(wmers: DataFrame, n_partitions: int, by: str, key: str = "h
     found = counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(partition, "n"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(n_partitions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0).cast("long")))
     return found.select(by, dense.alias("sketch"))
+
+
+def reservoir(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows, each as likely as any other: those of the least hashes of key and seed, so a rerun takes the same."""
+    mixed = portable_hash(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return df.orderBy(mixed, key).limit(n)
+
+
+def counted(sketch: DataFrame, store: DataFrame, key: str = "h") -> DataFrame:
+    """A sketch whose abundances are the counts of a store, 0 where it has none."""
+    own = store.select(key, F.col("count").alias("__n"))
+    return sketch.join(own, key, "left").withColumn("abundance", F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")

@@ -6,7 +6,10 @@ the hash modulo each of a few primes, so two builds of a store agree bit by bit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.hashing import primes_near, unsigned_mod
@@ -89,3 +92,82 @@ def partition_counts(hashes: DataFrame, n_partitions: int, key: str = "h", parti
     own = hashes.groupBy(partition).agg(F.countDistinct(key).alias("n_unique"))
     every = hashes.sparkSession.range(n_partitions).withColumnRenamed("id", partition)
     return every.join(own, partition, "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+
+
+#: Largest count of the counting bins.
+CAPS = {"cms8": 255, "cms4": 15}
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What a store is made of; stores of one shape can be united and compared."""
+
+    kind: str = "exact"
+    k: int = 31
+    table_size: int = 1_000_000
+    n_tables: int = 4
+
+    def __post_init__(self):
+        if self.kind not in ("exact", "bloom", "cms8", "cms4", "cqf"):
+            raise ValueError(f"unknown store {self.kind}")
+
+    @property
+    def sizes(self) -> list[int]:
+        return table_sizes(self.table_size, self.n_tables)
+
+    @property
+    def slots(self) -> int:
+        """Bits that a quotient filter's slots need."""
+        return max(1, (self.table_size - 1).bit_length())
+
+
+class Store:
+    """A store by name: build, query, unite, save and load."""
+
+    def __init__(self, shape: Shape, rows: DataFrame):
+        self.shape, self.rows = shape, rows
+
+    @classmethod
+    def build(cls, hashes: DataFrame, shape: Shape) -> Store:
+        if shape.kind == "exact":
+            return cls(shape, exact_counts(hashes))
+        if shape.kind == "bloom":
+            return cls(shape, bloom(hashes, shape.sizes))
+        if shape.kind == "cqf":
+            return cls(shape, quotient_counts(hashes, shape.slots))
+        return cls(shape, count_min(hashes, shape.sizes, CAPS[shape.kind]))
+
+    def query(self, hashes: DataFrame) -> DataFrame:
+        """(h, count) of the distinct ``hashes``; presence stores count 1."""
+        kind, own = self.shape.kind, hashes.select("h").distinct()
+        if kind == "exact":
+            return query(self.rows, own)
+        if kind == "bloom":
+            return bloom_query(self.rows, own, self.shape.sizes)
+        if kind == "cqf":
+            slot = own.withColumn("slot", F.col("h").bitwiseAND(F.lit((1 << (self.shape.slots + 8)) - 1)))
+            return query(self.rows, slot, "slot").select("h", "count")
+        return count_min_query(self.rows, own, self.shape.sizes)
+
+    def union(self, other: Store) -> Store:
+        """A store of both inputs; counts add up, to the cap where there is one."""
+        if self.shape != other.shape:
+            raise ValueError("stores differ in shape")
+        both = self.rows.unionByName(other.rows)
+        if self.shape.kind == "bloom":
+            return Store(self.shape, both.distinct())
+        keys = [c for c in both.columns if c != "count"]
+        cap = CAPS.get(self.shape.kind)
+        total = F.sum("count") if cap is None else F.least(F.sum("count"), F.lit(cap)).cast("int")
+        return Store(self.shape, both.groupBy(*keys).agg(total.alias("count")))
+
+    def save(self, path: str) -> None:
+        """Parquet rows beside one line of JSON with the shape, which is written last."""
+        self.rows.write.parquet(f"{path}/rows")
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(json.dumps(asdict(self.shape)),)], "value string").write.text(f"{path}/shape")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Store:
+        shape = Shape(**json.loads(spark.read.text(f"{path}/shape").first()[0]))
+        return cls(shape, spark.read.parquet(f"{path}/rows"))

@@ -30,3 +30,15 @@ def tags(minimizers: DataFrame) -> DataFrame:
     step = Window.partitionBy("seq_no").orderBy("pos")
     rows = minimizers.withColumn("np", F.lead("pos").over(step)).withColumn("nq", F.lead("partition").over(step))
     return rows.where("np = pos + 1 and nq <> partition").select("seq_no", "pos", F.col("partition").alias("left_partition"), F.col("nq").alias("right_partition"))
+
+
+def tag_links(tag: DataFrame) -> DataFrame:
+    """(left_partition, right_partition, n_reads, n): links between partitions that the reads' tags make."""
+    own = tag.groupBy("left_partition", "right_partition", "seq_no").agg(F.count("*").alias("n"))
+    return own.groupBy("left_partition", "right_partition").agg(F.count("*").alias("n_reads"), F.sum("n").alias("n"))
+
+
+def read_tags(tag: DataFrame) -> DataFrame:
+    """(seq_no, path): the partitions a read goes through, tag after tag, in order."""
+    steps = F.array_sort(F.collect_list(F.struct("pos", "left_partition", "right_partition")))
+    return tag.groupBy("seq_no").agg(steps.alias("s")).select("seq_no", F.transform("s", lambda x: F.struct(x["left_partition"], x["right_partition"])).alias("path"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions import distances
+from strandlake.functions import distances, protein
 from strandlake.functions.alphabet import DNA, DNAN, IUPAC
 from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned_text
 from strandlake.kmers import kmers
 from strandlake.operators import filters, graph, sketch, stores, tags, windows
 from strandlake.plans import io_queries
 from strandlake.plans.projection import READS_SQL, reads
+from strandlake.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,6 +352,14 @@ def partition_tags(spark, sf_dir):
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
+_TAGS_SQL = ORACLE_SQL["partition_tags"]
+
+
+@query(f"with t as ({_TAGS_SQL}) select left_partition, right_partition, count(distinct seq_no)::bigint as n_reads, count(*)::bigint as n from t group by 1, 2")
+def partition_tag_links(spark, sf_dir):
+    return tags.tag_links(partition_tags(spark, sf_dir))
+
+
 # --- distances
 
 _VECTOR_SQL = {
@@ -373,5 +382,47 @@ def vector_distances(spark, sf_dir):
     return v.join(F.broadcast(first)).select("vec_id", *map(d, _VECTOR_SQL))
 
 
+# --- stores on disk, samples, residues
+
+
+@query(f"""with {_HASHED}, s as (select h, count(*)::bigint as count from h group by h), {_PROBES} select p.h, coalesce(count, 0) as count from p left join s on s.h = p.h""")
+def store_round_trip(spark, sf_dir):
+    hashes = _hashed(spark, sf_dir).withColumn("half", F.col("h") % 2 == 0)
+    shape, path = stores.Shape(k=K), shared_path(spark, "store")
+    even, odd = (stores.Store.build(hashes.where(w), shape) for w in ("half", "not half"))
+    even.union(odd).save(path)
+    return stores.Store.load(spark, path).query(_probes(spark, sf_dir))
+
+
+@query("""select doc_id, n_chars from documents order by ('0x' || substr(md5(doc_id || ':42'), 1, 15))::bigint, doc_id limit 50""")
+def reservoir_sample(spark, sf_dir):
+    return sketch.reservoir(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 50, "doc_id")
+
+
+@query(f"""with {_HASHED}, m as (select distinct h from h order by h limit 500), n as (select h, count(*)::bigint as n from h group by h) select m.h, n as abundance from m join n on n.h = m.h""")
+def counting_minhash(spark, sf_dir):
+    hashes = _hashed(spark, sf_dir)
+    return sketch.counted(sketch.bottom(hashes, 500).select("h"), stores.exact_counts(hashes))
+
+
+_CODE = "strpos('TCAG', substr(c, 1, 1)) * 16 + strpos('TCAG', substr(c, 2, 1)) * 4 + strpos('TCAG', substr(c, 3, 1)) - 20"
+
+
+@query(f"""with c as (select seq_no, list_transform(range(0, length(sequence) // 3), lambda i: substr(sequence, (3 * i + 1)::int, 3)) as cs from ({ITEMS_SQL})),
+r as (select seq_no, array_to_string(list_transform(cs, lambda c: substr('{protein.RESIDUES}', ({_CODE})::int, 1)), '') as residues from c)
+select seq_no, coalesce(residues, '') as residues, translate(coalesce(residues, ''), 'CAGPSTDENQHKRILMVFWY', 'abbbbbccccdddeeeefff') as dayhoff from r""")
+def codon_translation(spark, sf_dir):
+    residues = protein.translate_sequence(F.col("sequence"))
+    return _items(spark, sf_dir).select("seq_no", residues.alias("residues"), protein.dayhoff(residues).alias("dayhoff"))
+
+
+@query("""with v as (select vec_id, embedding::double[] as a from embeddings), w as (select vec_id, a, lag(a, 1) over (order by vec_id) as b2, lag(a, 3) over (order by vec_id) as b4 from v),
+u as (select vec_id, 2 as freq, a, b2 as b from w union all select vec_id, 4, a, b4 from w)
+select vec_id, freq, 'euclidean' as metric, round(list_distance(a, b), 5) as distance from u where b is not null""")
+def rolling_signature_distances(spark, sf_dir):
+    out = distances.rolling_distances(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", (2, 4), ("euclidean",))
+    return out.withColumn("distance", F.round("distance", 5))
+
+
 QUERIES |= io_queries.QUERIES
 ORACLE_SQL |= io_queries.ORACLE_SQL

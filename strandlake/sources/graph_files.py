@@ -29,10 +29,10 @@ def fasta_lines(graph: Compacted) -> DataFrame:
     return graph_nodes(graph).select(F.format_string(">ID=%s L=%d type=%s\n%s", "name", F.length("sequence"), "meta", "sequence").alias("value"))
 
 
-def gfa_lines(graph: Compacted) -> DataFrame:
+def gfa_lines(graph: Compacted, overlap: int | None = None) -> DataFrame:
+    """Segments and links; ``overlap`` is what links state, k-1 by default (some readers expect k)."""
     segments = graph_nodes(graph).select(F.lit(0).alias("o"), F.format_string("S\t%s\t%s\tLN:i:%d", "name", "sequence", F.length("sequence")).alias("value"))
-    # links state k as their overlap, as readers of these files expect, though neighbours share k-1 symbols
-    overlap = graph.k
+    overlap = graph.k - 1 if overlap is None else overlap
     links = graph_links(graph).select(F.lit(1).alias("o"), F.format_string(f"L\t%s\t+\t%s\t+\t{overlap}M\tID:Z:LINK-%s-%s", "source", "sink", "source", "sink").alias("value"))
     return segments.unionByName(links)
 

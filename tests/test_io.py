@@ -93,7 +93,7 @@ def test_graph_files(spark, tmp_path):
     names = {x.split("\t")[1] for x in lines if x.startswith("S")}
     links = [x.split("\t") for x in lines if x.startswith("L")]
     assert len(names) == built.unitigs.count() + built.dnodes.count() and len(links) == built.links().count()
-    assert all({x[1], x[3]} <= names and x[5] == "4M" for x in links)
+    assert all({x[1], x[3]} <= names and x[5] == "3M" for x in links)
     xml = "".join(p.read_text() for p in sorted((tmp_path / "graphml").glob("part-*")))
     assert xml.startswith("<?xml") and xml.rstrip().endswith("</graphml>") and xml.count("<node ") == len(names)
 
