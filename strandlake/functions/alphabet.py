@@ -20,7 +20,8 @@ class Alphabet:
         return len(self.symbols)
 
     def is_valid(self, sequence: Column) -> Column:
-        return F.lit(True) if not self.symbols else F.upper(sequence).rlike(f"^[{self.symbols}]*$")
+        """Whether every symbol, of either case, is of the alphabet; a line end is a symbol too."""
+        return F.lit(True) if not self.symbols else sequence.rlike(rf"^[{self.symbols}{self.symbols.lower()}]*\z")
 
     def validate(self, sequence: Column) -> Column:
         """Upper-cased sequence, null where a symbol is not of the alphabet."""

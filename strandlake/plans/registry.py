@@ -13,7 +13,7 @@ from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned
 from strandlake.kmers import kmers
 from strandlake.operators import filters, graph, sketch, stores, tags, windows
 from strandlake.plans import io_queries
-from strandlake.plans.projection import READS_SQL, reads
+from strandlake.plans.projection import LETTERS, READS_SQL, reads
 from strandlake.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,9 +87,11 @@ def reverse_complement(spark, sf_dir):
   regexp_matches(upper(w), '^[{IUPAC.symbols}]*$') as iupac, translate(upper(w), '{IUPAC.symbols}', '{IUPAC.complements}') as complement
 from (select doc_id, regexp_extract(text, '[A-Za-z]+') as w from documents)""")
 def alphabet_validation(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w"))
-    w = F.col("w")
-    return rows.select("doc_id", DNA.is_valid(w).alias("dna"), DNAN.is_valid(w).alias("dnan"), IUPAC.is_valid(w).alias("iupac"), IUPAC.complement(F.upper(w)).alias("complement"))
+    # the whole text; the registered SQL still has its first run of letters only
+    text = F.col("text")
+    upper = F.translate(text, LETTERS, LETTERS.upper())
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select("doc_id", DNA.is_valid(text).alias("dna"), DNAN.is_valid(text).alias("dnan"), IUPAC.is_valid(text).alias("iupac"), IUPAC.complement(upper).alias("complement"))
 
 
 def _hash_sql(k: int, column: str) -> str:

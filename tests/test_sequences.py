@@ -10,6 +10,7 @@ from strandlake.functions.alphabet import ANY, DNA, IUPAC
 from strandlake.functions.hashing import kmer_hash, max_hash_for_scaled, primes_near, sequence_hashes, unsigned_mod
 from strandlake.kmers import kmers
 from strandlake.operators import filters, graph, stores, windows
+from strandlake.plans.registry import QUERIES
 
 
 def frame(spark, sequences):
@@ -48,6 +49,25 @@ def test_alphabets(spark):
     assert tuple(row) == (None, "NACGT", "acgtn")
 
 
+def tables(spark, path, texts):
+    """A folder of documents, and of a benchmark that must not stand in for them."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "dcbadcbadcbadcbadcbadcbadcbadcba")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_alphabets_of_whole_texts(spark, tmp_path):
+    texts = ["acgt", "ACGT acgx", "acgtn!", "ACGT\n", "Stra\u00dfe", "", None]
+    rows = QUERIES["alphabet_validation"](spark, tables(spark, tmp_path, texts)).orderBy("doc_id").collect()
+    swap = str.maketrans("ATUGCYRSWKMBDHVN", "TAACGRYSWMKVHDBN")
+    upper = [t and "".join(c.upper() if c.isascii() else c for c in t) for t in texts]
+    valid = lambda symbols: [None if t is None else set(t) <= set(symbols) for t in upper]
+    assert [r.dna for r in rows] == valid("ACGT")
+    assert [r.dnan for r in rows] == valid("ACGTN")
+    assert [r.iupac for r in rows] == valid("ATUGCYRSWKMBDHVN")
+    assert [r.complement for r in rows] == [None if t is None else t.translate(swap) for t in upper]
+
+
 def test_kmers_of_long_and_short_sequences(spark):
     sequences = [dna(1, 1000), "ACG", "", "ACGTA", None]
     got = {(r.seq_no, r.pos): r.kmer for r in kmers(frame(spark, sequences), 5).collect()}
