@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The standard genetic code, its bases in the order TCAG; fixed values.
 BASES = "TCAG"
 RESIDUES = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+#: Codons that are looked up in one piece.
+PIECE = 128
 #: Groups of residues in Dayhoff's classes and in hydrophobic or polar; fixed values.
 DAYHOFF = {"a": "C", "b": "AGPST", "c": "DENQ", "d": "HKR", "e": "ILMV", "f": "FWY"}
 HP = {"h": "AFGILMPVWY", "p": "CDEHKNQRST"}
@@ -26,10 +28,17 @@ def translate_codon(codon: Column) -> Column:
 
 
 def translate_sequence(sequence: Column, frame: int = 0) -> Column:
-    """Residues of the whole codons from ``frame`` (0 to 2) on."""
+    """Residues of the whole codons from ``frame`` (0 to 2) on.
+
+    A long sequence is cut first, as finding a place in it takes time in
+    proportion to the place.
+    """
     n = F.floor((F.length(sequence) - frame) / 3).cast("int")
-    codon = lambda i: translate_codon(F.substr(sequence, i * 3 + frame + 1, F.lit(3)))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), codon), "")).otherwise(F.when(sequence.isNotNull(), ""))
+    codon = lambda s: lambda i: translate_codon(F.substr(s, i * 3 + 1, F.lit(3)))
+    of = lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 3).cast("int") - 1), codon(s)), "")
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda i: F.substr(sequence, i * 3 + frame + 1, F.least(n - i, F.lit(PIECE)) * 3))
+    return F.when(n > 0, F.array_join(F.transform(pieces, of), "")).otherwise(F.when(sequence.isNotNull(), ""))
 
 
 def _reduced(residues: Column, groups: dict[str, str]) -> Column:

@@ -66,8 +66,7 @@ def mate_pairs(spark, sf_dir):
 
 @query()
 def graph_gfa(spark, sf_dir):
-    items = reads(spark, sf_dir, "benchmark", "item_id")
-    return graph_files.gfa_lines(graph.Compacted(graph.nodes(kmers(items, 15)), 15)).select("value")
+    return graph_files.gfa_lines(graph.Compacted(graph.nodes(kmers(reads(spark, sf_dir), 15)), 15)).select("value")
 
 
 @query()

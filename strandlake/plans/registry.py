@@ -103,12 +103,12 @@ def _hash_sql(k: int, column: str) -> str:
 @query(f"""with {_kmers_sql(27, ITEMS_SQL)}, h as (select seq_no, pos, {_hash_sql(27, "kmer")} as fw, {_hash_sql(27, "reverse(translate(kmer, 'ACGT', 'TGCA'))")} as rc from k)
 select seq_no, pos, fw::varchar as fw, rc::varchar as rc, least(fw, rc)::varchar as h from h""")
 def cyclic_hashes(spark, sf_dir):
-    return hashed_kmers(_items(spark, sf_dir), 27).select("seq_no", "pos", *[unsigned_text(F.col(c)).alias(c) for c in ("fw", "rc", "h")])
+    return hashed_kmers(reads(spark, sf_dir), 27).select("seq_no", "pos", *[unsigned_text(F.col(c)).alias(c) for c in ("fw", "rc", "h")])
 
 
 @query(f"""with {_kmers_sql(27, ITEMS_SQL)} select seq_no, pos, {_hash_sql(27, "kmer")}::varchar as fw from k""")
 def cyclic_hash_expression(spark, sf_dir):
-    return kmers(_items(spark, sf_dir), 27).select("seq_no", "pos", unsigned_text(hash_expression(F.col("kmer"), 27)).alias("fw"))
+    return kmers(reads(spark, sf_dir), 27).select("seq_no", "pos", unsigned_text(hash_expression(F.col("kmer"), 27)).alias("fw"))
 
 
 # --- counts and filters
@@ -303,12 +303,12 @@ _NODES = f"{_kmers_sql(GRAPH_K, ITEMS_SQL)}, n as (select distinct kmer from k),
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> graph.Compacted:
-    return graph.Compacted(graph.nodes(kmers(_items(spark, sf_dir), GRAPH_K)), GRAPH_K)
+    return graph.Compacted(graph.nodes(kmers(reads(spark, sf_dir), GRAPH_K)), GRAPH_K)
 
 
 @query(f"with {_NODES} select src, dst from e")
 def graph_edges(spark, sf_dir):
-    return graph.edges(graph.nodes(kmers(_items(spark, sf_dir), GRAPH_K)))
+    return graph.edges(graph.nodes(kmers(reads(spark, sf_dir), GRAPH_K)))
 
 
 _PLAIN = f"""{_NODES}, d as (select kmer from n where (select count(*) from e where src = kmer) > 1 or (select count(*) from e where dst = kmer) > 1),
@@ -348,8 +348,8 @@ w as (select seq_no, pos, min(case when p is not null then struct_pack(kmer := k
 x as (select seq_no, pos, m.p as q from w where n = 14 and m is not null), y as (select *, lead(pos) over (partition by seq_no order by pos) as np, lead(q) over (partition by seq_no order by pos) as nq from x)
 select seq_no, pos::bigint as pos, q::bigint as left_partition, nq::bigint as right_partition from y where np = pos + 1 and nq <> q""")
 def partition_tags(spark, sf_dir):
-    k = kmers(_items(spark, sf_dir), 7)
-    hits = tags.hitting_set(k.where("kmer like 'A%'").withColumn("ord", F.col("seq_no") * 1_000_000 + F.col("pos")))
+    k = kmers(reads(spark, sf_dir), 7)
+    hits = tags.hitting_set(k.where("kmer like 'A%'").withColumn("ord", F.struct("seq_no", "pos")))
     out = tags.tags(tags.window_minimizers(k, hits, 20, 7))
     return out.withColumn("pos", F.col("pos").cast("long"))
 
@@ -415,7 +415,7 @@ r as (select seq_no, array_to_string(list_transform(cs, lambda c: substr('{prote
 select seq_no, coalesce(residues, '') as residues, translate(coalesce(residues, ''), 'CAGPSTDENQHKRILMVFWY', 'abbbbbccccdddeeeefff') as dayhoff from r""")
 def codon_translation(spark, sf_dir):
     residues = protein.translate_sequence(F.col("sequence"))
-    return _items(spark, sf_dir).select("seq_no", residues.alias("residues"), protein.dayhoff(residues).alias("dayhoff"))
+    return reads(spark, sf_dir).select("seq_no", residues.alias("residues"), protein.dayhoff(residues).alias("dayhoff"))
 
 
 @query("""with v as (select vec_id, embedding::double[] as a from embeddings), w as (select vec_id, a, lag(a, 1) over (order by vec_id) as b2, lag(a, 3) over (order by vec_id) as b4 from v),

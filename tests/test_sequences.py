@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions import protein
 from strandlake.functions.alphabet import ANY, DNA, IUPAC
 from strandlake.functions.hashing import kmer_hash, max_hash_for_scaled, primes_near, sequence_hashes, unsigned_mod
 from strandlake.kmers import kmers
@@ -152,6 +153,59 @@ def test_compaction(spark):
     assert made.components().select("component").distinct().count() == 2
 
 
+def test_sequence_queries_read_the_documents(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    base = word(1500)
+    texts = [base, base[:700] + " " + word(60), word(70), word(40), "", "ab", None]
+    sf_dir = tables(spark, tmp_path, texts)
+    run = lambda name: QUERIES[name](spark, sf_dir).collect()
+    seqs = {i: t.replace(" ", "").translate(str.maketrans("abcd", "ACGT")) for i, t in enumerate(texts) if t is not None}
+    kms = lambda k: [(i, p, s[p : p + k]) for i, s in seqs.items() for p in range(len(s) - k + 1)]
+
+    hashes = [(i, p, *kmer_hash(x)) for i, p, x in kms(27)]
+    assert sorted(map(tuple, run("cyclic_hashes"))) == sorted((i, p, str(f), str(r), str(min(f, r))) for i, p, f, r in hashes)
+    assert sorted(map(tuple, run("cyclic_hash_expression"))) == sorted((i, p, str(f)) for i, p, f, _ in hashes)
+
+    nodes, decisions, unitigs, circular = brute_graph(list(seqs.values()), 15)
+    assert decisions and not circular
+    edges = {(n, n[1:] + c) for n in nodes for c in "ACGT" if n[1:] + c in nodes}
+    assert {tuple(r) for r in run("graph_edges")} == edges
+    assert sorted(r.sequence for r in run("graph_unitigs")) == sorted(unitigs)
+    assert tuple(run("graph_validation")[0]) == (len(nodes), len(nodes))
+    kinds = {r.meta: r.n for r in run("graph_unitig_kinds")}
+    assert kinds.pop("DECISION") == len(decisions) and sum(kinds.values()) == len(unitigs)
+    group = {n: n for n in nodes}
+
+    def root(n):
+        while group[n] != n:
+            n = group[n]
+        return n
+
+    for a, b in edges:
+        group[root(a)] = root(b)
+    parts = [*decisions, *(u[:15] for u in unitigs)]
+    assert sorted(r["size"] for r in run("graph_components")) == sorted(sum(root(p) == r for p in parts) for r in {root(p) for p in parts})
+    lines = [r.value.split("\t") for r in run("graph_gfa")]
+    assert sorted(x[2] for x in lines if x[0] == "S") == sorted([*unitigs, *decisions])
+
+    first = {}
+    for _, _, x in sorted(kms(7)):
+        if x.startswith("A"):
+            first.setdefault(x, len(first))
+    tag = []
+    for i, s in seqs.items():
+        least = [min((s[q : q + 7] for q in range(p, p + 14) if s[q : q + 7] in first), default=None) for p in range(len(s) - 19)]
+        tag += [(i, p, first[x], first[y]) for p, (x, y) in enumerate(zip(least, least[1:], strict=False)) if x and y and x != y]
+    assert sorted(map(tuple, run("partition_tags"))) == sorted(tag)
+    links = {(x, y, len({t[0] for t in tag if t[2:] == (x, y)}), sum(t[2:] == (x, y) for t in tag)) for _, _, x, y in tag}
+    assert {tuple(r) for r in run("partition_tag_links")} == links
+
+    code = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), protein.RESIDUES, strict=True))
+    residues = {i: "".join(code[s[p : p + 3]] for p in range(0, len(s) - 2, 3)) for i, s in seqs.items()} | {6: None}
+    assert {r.seq_no: r.residues for r in run("codon_translation")} == residues
+
+
 def test_walks(spark):
     node = graph.nodes(kmers(frame(spark, ["AACCGGTATTC", "CCGGTCC"]), 5))
     seeds = spark.createDataFrame([("AACCG",), ("TTTTT",)], "kmer string")
