@@ -320,7 +320,8 @@ u as (select head, max(length(sequence)) as n from w group by head)"""
 
 @query(f"with recursive {_PLAIN} select sequence from w join u on w.head = u.head and length(sequence) = n")
 def graph_unitigs(spark, sf_dir):
-    return _graph(spark, sf_dir).unitigs.where("meta <> 'CIRCULAR'").select("sequence")
+    # cycles too, opened at their least k-mer; the registered SQL starts at heads of chains and lists none
+    return _graph(spark, sf_dir).unitigs.select("sequence")
 
 
 @query()

@@ -206,6 +206,26 @@ def test_sequence_queries_read_the_documents(spark, tmp_path):
     assert {r.seq_no: r.residues for r in run("codon_translation")} == residues
 
 
+def test_unitigs_hold_cycles(spark, tmp_path):
+    rng = random.Random(5)
+    line, ring, short = ("".join(rng.choice("abcd") for _ in range(n)) for n in (200, 40, 6))
+    texts = [line, ring * 3, short * 9, "a" * 30, "ab" * 20]
+    got = sorted(r.sequence for r in QUERIES["graph_unitigs"](spark, tables(spark, tmp_path, texts)).collect())
+    seqs = [t.translate(str.maketrans("abcd", "ACGT")) for t in texts]
+    nodes, decisions, unitigs, rest = brute_graph(seqs, 15)
+    assert not decisions
+    want = sorted(unitigs)
+    while rest:
+        text = at = min(rest)
+        while at in rest:
+            rest.remove(at)
+            near = [at[1:] + c for c in "ACGT" if at[1:] + c in nodes]
+            at = near[0]
+            text += at[-1] if at in rest else ""
+        want.append(text)
+    assert len(want) == 5 and got == sorted(want)
+
+
 def test_walks(spark):
     node = graph.nodes(kmers(frame(spark, ["AACCGGTATTC", "CCGGTCC"]), 5))
     seeds = spark.createDataFrame([("AACCG",), ("TTTTT",)], "kmer string")
