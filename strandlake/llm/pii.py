@@ -5,6 +5,8 @@ them, and words nearby raise the score of weak kinds.  Places are code points:
 as no expression looks around its match (other than to start where the previous
 match or a run of its first class starts, which changes no match), the leftmost
 occurrence of a matched string after the previous match is the match itself.
+Account numbers are sought from every place and end at the last word end that
+passes mod-97.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _between(least: int, most: int) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Kind:
-    """name, expression, cheap test of the text, validator, score alone, words that raise it, and whether it is base."""
+    """name, expression, cheap test of the text, validator, score alone, words that raise it, whether it is base, the kind that covers it, and whether shorter ends are tried."""
 
     name: str
     pattern: str
@@ -70,6 +72,7 @@ class Kind:
     context: str
     base: bool = True
     beside: str | None = None
+    shorter: bool = False
 
 
 KINDS = (
@@ -80,8 +83,8 @@ KINDS = (
     # what the method adds to the base: numbers that stand beside others, accounts and keys
     Kind("card_run", r"[0-9]++", lambda t: F.lit(True), lambda x: F.length(x).between(15, 16) & luhn(x), 0.6, "card|visa|credit|pay", False, "card"),
     Kind("phone_run", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", lambda t: F.contains(t, F.lit("+")), lambda x: F.lit(True), 0.6, "phone|call|tel|fax|mobile", False, "phone"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", lambda t: F.lit(True), mod97, 0.8, "iban|account|bank", False),
-    Kind("secret", r"""(?:token|key|secret|password) ?[=:] ?"[^"\s]{8,200}"?""", lambda t: F.contains(t, F.lit('"')), lambda x: F.lit(True), 0.7, "api|auth|login", False),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", lambda t: F.lit(True), mod97, 0.8, "iban|account|bank", False, shorter=True),
+    Kind("secret", r"""(?i:token|key|secret|password) ?[=:] ?"[^"\s]{8,}"?""", lambda t: F.contains(t, F.lit('"')), lambda x: F.lit(True), 0.7, "api|auth|login", False),
 )
 
 
@@ -96,8 +99,47 @@ def _located(text: Column, found: Column) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["e"])
 
 
+def _ended(kind: Kind, text: Column, found: Column) -> Column:
+    """(x, e) of valid matches and their ends, each match cut at the last word end that makes it valid.
+
+    ``found`` has the longest match from every place, so the leftmost occurrence
+    after the start before is the match itself.  A match that ends inside a word
+    counts last; one that starts inside a valid one before it is left out.
+    """
+    kept = "array<struct<x:string,e:int>>"
+
+    def cut(x: Column) -> Column:
+        """Prefixes that end before a space, the longest first."""
+        words = F.split(x, " ")
+        return F.transform(F.sequence(F.size(words) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+
+    def ends(x: Column, after: Column) -> Column:
+        own, rest = F.array(x), F.filter(cut(x), lambda p: F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 12)
+        return F.filter(F.when(after.rlike("[A-Za-z0-9]"), F.concat(rest, own)).otherwise(F.concat(own, rest)), kind.valid)
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.position(x, text, acc["p"] + 1)
+
+        def add(at: Column) -> Column:
+            best = F.when(at > acc["e"], F.get(ends(x, F.substr(text, at + F.length(x), F.lit(1))), F.lit(0)))
+
+            def put(best: Column) -> Column:
+                end = at - 1 + F.length(best)
+                new = F.array(F.struct(best.alias("x"), end.alias("e")))
+                return F.struct(at.alias("p"), F.coalesce(end, acc["e"]).alias("e"), F.when(best.isNull(), acc["s"]).otherwise(F.concat(acc["s"], new)).cast(kept).alias("s"))
+
+            return F.transform(F.array(best), put)[0]
+
+        return F.transform(F.array(at), add)[0]
+
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("e"), F.array().cast(kept).alias("s"))
+    return F.aggregate(found, start, step, lambda acc: acc["s"])
+
+
 def _spans(kind: Kind, text: Column) -> Column:
-    found = F.when(kind.guard(text), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # where shorter ends are tried, the longest match from every place, also inside others
+    pattern = f"(?=({kind.pattern}))" if kind.shorter else kind.pattern
+    found = F.when(kind.guard(text), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind.shorter)))).otherwise(F.array().cast("array<string>"))
 
     def span(x: Column, end: Column) -> Column:
         start = end - F.length(x)
@@ -106,12 +148,16 @@ def _spans(kind: Kind, text: Column) -> Column:
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x.alias("text"), score.alias("score"))
 
     def of(own: Column) -> Column:
-        valid = F.filter(F.zip_with(own, _located(text, own), lambda x, e: F.struct(x.alias("x"), e.alias("e"))), lambda s: kind.valid(s["x"]))
+        if kind.shorter:
+            valid = _ended(kind, text, own)
+        else:
+            valid = F.filter(F.zip_with(own, _located(text, own), lambda x, e: F.struct(x.alias("x"), e.alias("e"))), lambda s: kind.valid(s["x"]))
         spans = F.transform(valid, lambda s: span(s["x"], s["e"]))
         return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
 
     # the one-element array names the matches; most texts have nothing valid, and are not searched for places
-    return F.transform(F.array(found), lambda own: F.when(F.exists(own, kind.valid), of(own)).otherwise(F.array().cast(_SPAN)))[0]
+    some = (lambda own: F.size(own) > 0) if kind.shorter else lambda own: F.exists(own, kind.valid)
+    return F.transform(F.array(found), lambda own: F.when(some(own), of(own)).otherwise(F.array().cast(_SPAN)))[0]
 
 
 def _outside(spans: Column) -> Callable[[Column], Column]:

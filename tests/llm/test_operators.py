@@ -246,6 +246,31 @@ def test_personal_data(spark, docs, empty):
     assert [k.name for k in KINDS if k.base] == ["email", "ip", "card", "phone"]
 
 
+def test_account_numbers_and_secrets_end_where_they_end(spark):
+    texts = {
+        "BE68 5390 0754 7034": ["BE68 5390 0754 7034"],
+        "pay BE68 5390 0754 7034 Call me": ["BE68 5390 0754 7034"],
+        "BE68539007547034 2024": ["BE68539007547034"],
+        "é ES91 2100 0418 4502 0005 1332 In May": ["ES91 2100 0418 4502 0005 1332"],
+        "BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332 AT61 1904 3002 3457 3201 X": ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"],
+        "NO93 8601 1117 947 BE68 5390 0754 7034 BE68 5390 0754 7034": ["NO93 8601 1117 947", "BE68 5390 0754 7034", "BE68 5390 0754 7034"],
+        "AB13 BE68 5390 0754 7034.": ["BE68 5390 0754 7034"],
+        "BE68539007547034abc": ["BE68539007547034"],
+        "BE68 5390 0754 7035 Call": [],
+        "BE68 5390": [],
+        'TOKEN = "9233A8ECF7C5B09F" Key: "abcdefgh': ['TOKEN = "9233A8ECF7C5B09F"', 'Key: "abcdefgh'],
+        'secret="' + "x" * 500 + '" b': ['secret="' + "x" * 500 + '"'],
+        'secret="short"': [],
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if s["kind"] in ("iban", "secret")] for r in find_pii(table).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [s["text"] for s in got[i]] == want, text
+        assert all(text[s["start"] : s["end"]] == s["text"] for s in got[i]), text
+    clean = {r.doc_id: r.text for r in redact_pii(table).collect()}
+    assert clean[1] == "pay [IBAN] Call me" and clean[4] == "[IBAN] [IBAN] [IBAN] X"
+
+
 def test_quality_rules(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in quality_rules(docs).collect()}
     for i, t in TEXTS:
