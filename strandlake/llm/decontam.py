@@ -1,7 +1,8 @@
 """Operator 7: benchmark decontamination by spaced seeds.
 
 A document is contaminated by an item if some window of ``min(20, item length)``
-aligned words agrees in at least 80 % of them.  Fixed masks pick the positions
+aligned words agrees in at least 80 % of them, or in all of them if the item has
+fewer than LEAST_WORDS words.  Fixed masks pick the positions
 that a seed hashes; a substitution at an ignored position leaves the seed whole.
 The masks are lossless: every way to place the allowed substitutions leaves one
 of them whole (tests enumerate them).  Seeds of items and documents are joined
@@ -26,7 +27,7 @@ PERCENT = 80
 LONG = 14
 MASKS = ((0, 2, 3, 4, 5), (0, 5, 6, 8, 9), (0, 1, 2, 5, 6))
 SHORT_MASKS = ((0, 1, 2),)
-#: Shorter items are too little evidence and match nothing.
+#: Shorter items match where a document holds all their words in a row.
 LEAST_WORDS = 8
 #: Text bytes of the items that are broadcast at once; more items take more passes.
 BLOCK_BYTES = 16 << 20
@@ -58,9 +59,10 @@ class Items:
         self.hash, self.at = words.hash, words.at.astype(np.int64)
         size = np.diff(self.at)
         self.window = np.minimum(size, WINDOW)
-        self.need = -(-PERCENT * self.window // 100)
+        self.need = np.where(size < LEAST_WORDS, size, -(-PERCENT * self.window // 100))
         self.tables = []
-        for masks, chosen in ((MASKS, size >= LONG), (SHORT_MASKS, (size >= LEAST_WORDS) & (size < LONG))):
+        exact = [((tuple(range(n)),), size == n) for n in range(1, LEAST_WORDS)]
+        for masks, chosen in ((MASKS, size >= LONG), (SHORT_MASKS, (size >= LEAST_WORDS) & (size < LONG)), *exact):
             for mask in masks if chosen.any() else ():
                 first = _places(self.at, mask[-1] + 1)
                 item = np.searchsorted(self.at, first, "right") - 1
@@ -167,7 +169,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each pair of a document and a benchmark item that it holds.
 
     doc_id, item_id, agreeing_words of the window_words of the best (then first)
-    window, first_word where it starts in the document.  Null or empty texts and
+    window, first_word where it starts in the document.  Items of fewer than
+    LEAST_WORDS words match by all their words, in a row.  Null or empty texts and
     items without an id match nothing; a null doc_id is passed through; repeated
     rows repeat their matches; repeated items give one row for each id.  Either
     table may be empty: no rows.  Other columns are ignored.  Nothing is shuffled.

@@ -219,6 +219,24 @@ def test_sharding(spark, docs, empty):
     assert shards.read().count() == len(TEXTS)
 
 
+def test_short_items_match_by_all_their_words(spark):
+    words = "who wrote the old song of seas".split()
+    items = {n: " ".join(words[:n]) for n in range(8)} | {9: "fin"}
+    texts = [" ".join(words), "So who Wrote the old\nsong of rivers fin", "who wrote that old song of seas", "wrote the old song", "", "infinite"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        have = text.lower().split()
+        for i, item in items.items():
+            own = item.split()
+            at = next((k for k in range(len(have) - len(own) + 1) if own and have[k : k + len(own)] == own), None)
+            if at is not None:
+                want.add((d, i, len(own), len(own), at))
+    assert {tuple(r) for r in decontam.contaminated(rows, benchmark).collect()} == want
+    assert {(0, 7, 7, 7, 0), (1, 6, 6, 6, 1), (1, 9, 1, 1, 8)} <= want
+
+
 def _base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
