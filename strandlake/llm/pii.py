@@ -1,7 +1,8 @@
-"""Operator 6: personal data by regular expressions, checksums and context, all in DataFrame functions.
+"""Operator 6: personal data by regular expressions and checksums, all in DataFrame functions.
 
 An expression proposes spans, a validator (digit counts, Luhn, mod-97) confirms
-them, and words nearby raise the score of weak kinds.  Places are code points:
+them.  Words nearby raise the score of a span, which decides nothing: every kind's
+own score is above LEAST_SCORE.  Places are code points:
 as no expression looks around its match (other than to start where the previous
 match or a run of its first class starts, which changes no match), the leftmost
 occurrence of a matched string after the previous match is the match itself.
