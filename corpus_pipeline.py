@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("encode", encode)]
 
-#: SQL cannot express a fitted classifier, so the pipeline is tested against a brute-force version.
+#: SQL cannot express a fitted classifier; tests check columns and ids of the stages, and no brute-force version of the whole exists.
 ORACLE_SQL = None
 
 
