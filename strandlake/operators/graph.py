@@ -193,14 +193,15 @@ def connected_components(node: DataFrame, links: DataFrame) -> DataFrame:
         state = after.select("node", F.col("new").alias("component"))
 
 
-def walk(node: DataFrame, seeds: DataFrame, side: str = "right", mask: DataFrame | None = None, stop: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+def walk(node: DataFrame, seeds: DataFrame, side: str = "right", mask: DataFrame | None = None, stop: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(seed, path, end_state) of walks from every seed at once, one join a step.
 
     STOP_FWD: no neighbour; DECISION_FWD: more than one (the path ends with the
     decision node); DECISION_BKW: the only neighbour branches backwards (it is
     left out); STOP_SEEN: the neighbour is on the path; STOP_MASKED: a stopper
     holds the neighbour; BAD_SEED: the seed is not in the graph.  A mask takes
-    nodes out of the graph; a stopper only ends steps.
+    nodes out of the graph; a stopper only ends steps.  Every walk is followed to
+    its end; with ``most``, those still going after so many steps are UNFINISHED.
     """
     graph = node if mask is None else node.join(mask.select("kmer"), "kmer", "left_anti")
     graph = stored(degrees(graph), "walk-graph")
@@ -213,9 +214,12 @@ def walk(node: DataFrame, seeds: DataFrame, side: str = "right", mask: DataFrame
     state = seeds.select(F.col("kmer").alias("seed")).distinct().join(known, F.col("seed") == F.col("kmer"), "left")
     bad = state.where("kmer is null").select("seed", F.array("seed").alias("path"), F.lit("BAD_SEED").alias("end_state"))
     live, done = stored(state.where("kmer is not null").select("seed", F.array("seed").alias("path"), "out"), "walk"), [stored(bad, "walk")]
-    for _ in range(most):
-        if live.limit(1).count() == 0:
+    n_steps = 0
+    while live.limit(1).count():
+        if n_steps == most:
+            done.append(live.select("seed", "path", F.lit("UNFINISHED").alias("end_state")))
             break
+        n_steps += 1
         tip = F.element_at("path", -1)
         ended = live.where("out <> 1").select("seed", "path", F.when(F.col("out") == 0, "STOP_FWD").otherwise("DECISION_FWD").alias("end_state"))
         step = live.where("out = 1").join(link, F.col("src") == tip)

@@ -1,5 +1,6 @@
 """Sequence operators against pinned vectors and brute force."""
 
+import inspect
 import random
 
 import numpy as np
@@ -236,6 +237,14 @@ def test_walks(spark):
     assert got["AACCG"] == ("AACCGGTATTC", "STOP_FWD")
 
 
+def test_walks_that_are_cut_short_are_told(spark):
+    node = graph.nodes(kmers(frame(spark, ["AACCGGTATTC"]), 5))
+    seeds = spark.createDataFrame([("AACCG",), ("GTATT",)], "kmer string")
+    got = {r.seed: (graph_path(r.path), r.end_state) for r in graph.walk(node, seeds, most=3).collect()}
+    assert got == {"AACCG": ("AACCGGTA", "UNFINISHED"), "GTATT": ("GTATTC", "STOP_FWD")}
+    assert inspect.signature(graph.walk).parameters["most"].default is None
+
+
 def graph_path(path):
     return path[0] + "".join(p[-1] for p in path[1:])
 
