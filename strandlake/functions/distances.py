@@ -66,7 +66,7 @@ def jensenshannon(a: Column, b: Column) -> Column:
     share = lambda v: F.transform(F.array(_sum(v)), lambda t: F.transform(v, lambda x: x / t))[0]
     p, q = share(_doubles(a)), share(_doubles(b))
     part = lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-    return F.sqrt(_sum(_zip(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))) / 2)
+    return F.sqrt(F.greatest(_sum(_zip(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))) / 2, F.lit(0.0)))
 
 
 def seuclidean(a: Column, b: Column, variances: Column) -> Column:
@@ -92,7 +92,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def angular(a: Column, b: Column) -> Column:
     """1 - 2 angle / pi of two abundance vectors."""
-    return 1 - 2 * F.acos(F.least(F.lit(1.0), 1 - cosine(a, b))) / F.pi()
+    return 1 - 2 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - cosine(a, b)))) / F.pi()
 
 
 METRICS = {
@@ -108,15 +108,31 @@ def distance(a: Column, b: Column, metric: str, *args) -> Column:
 
 
 def rolling_distances(df: DataFrame, vector: str, order: str, sizes: Sequence[int] = (2, 4, 6, 8, 10), metrics: Sequence[str] = ("cosine",), by: Sequence[str] = ()) -> DataFrame:
-    """(*by, order, freq, metric, distance): each row against the one freq - 1 rows before it."""
-    frame = Window.partitionBy(*by).orderBy(order)
-    rows = df.select(*by, order, vector, *[F.lag(vector, n - 1).over(frame).alias(f"__{n}") for n in sizes])
-    each = [
-        F.struct(F.lit(n).alias("freq"), F.lit(m).alias("metric"), F.when(F.col(f"__{n}").isNotNull(), distance(F.col(f"__{n}"), F.col(vector), m)).alias("distance"))
-        for n in sizes
-        for m in metrics
-    ]
-    return rows.select(*by, order, F.explode(F.array(*each)).alias("x")).select(*by, order, "x.*").where("distance is not null")
+    """(*by, order, freq, metric, distance, time_norm): each row against the one freq - 1 rows before it.
+
+    Every window of each size counts, those at the tail too; time_norm is the
+    order's share of its largest value.  Rows are numbered by group, and a row
+    meets its predecessors in a join on numbers, so vectors of one series spread.
+    """
+    numbers = df.select(*by, order).withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    numbered = df.select(*by, order, vector).join(numbers, [*by, order])
+    last = df.groupBy(*by).agg(F.max(order).alias("__last"))
+    keys = [*by, "__n"]
+    ahead = numbered.select(*by, F.col(vector).alias("__v"), F.explode(F.array(*[F.struct(F.lit(n).alias("freq"), (F.col("__n") + n - 1).alias("__n")) for n in sizes])).alias("x"))
+    rows = numbered.join(ahead.select(*by, "__v", "x.freq", "x.__n"), keys)
+    rows = rows.join(last, list(by)) if by else rows.crossJoin(F.broadcast(last))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), distance(F.col("__v"), F.col(vector), m).alias("distance")) for m in metrics]))
+    return rows.select(*by, order, "freq", each.alias("x"), (F.col(order) / F.col("__last")).alias("time_norm")).select(*by, order, "freq", "x.metric", "x.distance", "time_norm").where("distance is not null")
+
+
+def distance_matrix(df: DataFrame, key: str, vector: str, metric: str = "cosine", most: int = 10_000) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of a stated set of at most ``most`` vectors; more are an error."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a distance matrix has {most} rows at most")
+    x = df.select(F.col(key).alias("a"), F.col(vector).alias("__x"))
+    y = df.select(F.col(key).alias("b"), F.col(vector).alias("__y"))
+    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", distance(F.col("__x"), F.col("__y"), metric).alias("distance"))
 
 
 def distances_from(df: DataFrame, vector: str, reference: Sequence[float], metric: str = "cosine") -> DataFrame:

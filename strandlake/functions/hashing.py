@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.arrays import flat, slices, window_starts
 from strandlake.tables import ship_package
 
 #: Constants of the symbols; fixed values.
@@ -111,19 +112,27 @@ def extensions(kmer: Column, side: str) -> Column:
     return F.array(*map(make, "ACGT"))
 
 
-def hashed_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(seq_no, pos, fw, rc, h) of every k-mer; h is the canonical value.  Vectorised over Arrow batches."""
+def hashed_kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("seq_no",)) -> DataFrame:
+    """(*keep, pos, fw, rc, h) of every k-mer; h is the canonical value.
+
+    Vectorised over whole Arrow batches: prefix sums run through all sequences of
+    a slice, and only windows within one sequence are taken.
+    """
     ship_package(reads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seq_no, text in zip(batch.column("seq_no").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
-                fw, rc = sequence_hashes(np.frombuffer((text or "").encode(), np.uint8), k)
-                if len(fw):
-                    columns = [np.full(len(fw), seq_no), np.arange(len(fw)), fw.view(np.int64), rc.view(np.int64), np.minimum(fw, rc).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seq_no", "pos", "fw", "rc", "h"])
+            for data, at, piece, offset in slices(*flat(batch.column("sequence")), k - 1):
+                start, row = window_starts(at, k)
+                if len(start) == 0:
+                    continue
+                fw, rc = (h[start] for h in sequence_hashes(data, k))
+                rows = pa.array(piece[row])
+                columns = [start - at[row] + offset[row], fw.view(np.int64), rc.view(np.int64), np.minimum(fw, rc).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), *map(pa.array, columns)], names=[*keep, "pos", "fw", "rc", "h"])
 
-    return reads.select("seq_no", "sequence").where(F.length("sequence") >= k).mapInArrow(run, "seq_no long, pos long, fw long, rc long, h long")
+    kinds = dict(reads.dtypes)
+    return reads.select(*keep, "sequence").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "pos long, fw long, rc long, h long")
 
 
 def max_hash_for_scaled(scaled: int) -> int:
@@ -141,3 +150,57 @@ def primes_near(n: int, x: int) -> list[int]:
             out.append(c)
         c -= 2
     return out
+
+
+# --- hashes of neighbours and of other lengths, from a k-mer's own
+
+
+def _turned(h: Column, by: int) -> Column:
+    by %= 64
+    return h if by == 0 else F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by))
+
+
+def _value(symbol: Column, complement: bool = False) -> Column:
+    """The constant of a symbol, or of its complement."""
+    out = F.lit(0).cast("long")
+    for s in SYMBOL_HASH:
+        x = SYMBOL_HASH[COMPLEMENT[s] if complement else s]
+        out = F.when(symbol == s, F.lit(x - (1 << 64) if x >> 63 else x)).otherwise(out)
+    return out
+
+
+def extended(h: Column, symbol: Column) -> Column:
+    """The hash of a k-mer and one more symbol at its end."""
+    return _turned(h, 1).bitwiseXOR(_value(symbol))
+
+
+def prepended(h: Column, symbol: Column, k: int) -> Column:
+    """The hash of a symbol and the k symbols of ``h`` after it."""
+    return h.bitwiseXOR(_turned(_value(symbol), k))
+
+
+def without_first(h: Column, symbol: Column, k: int) -> Column:
+    """The hash of a k-mer without its first symbol, which is given."""
+    return h.bitwiseXOR(_turned(_value(symbol), k - 1))
+
+
+def without_last(h: Column, symbol: Column) -> Column:
+    """The hash of a k-mer without its last symbol, which is given."""
+    return _turned(h.bitwiseXOR(_value(symbol)), 63)
+
+
+def hashed_extensions(kmer: Column, fw: Column, rc: Column, k: int, side: str) -> Column:
+    """Array of (side, symbol, kmer, fw, rc) of the four neighbours on one side, their hashes rolled from the k-mer's two."""
+    first, last = F.substring(kmer, 1, 1), F.substr(kmer, F.lit(k))
+
+    def make(near: Column) -> Column:
+        s = near["symbol"]
+        if side == "right":
+            f = extended(without_first(fw, first, k), s)
+            r = without_last(rc, F.translate(first, "ACGT", "TGCA")).bitwiseXOR(_turned(_value(s, True), k - 1))
+        else:
+            f = without_last(fw, last).bitwiseXOR(_turned(_value(s), k - 1))
+            r = _turned(without_first(rc, F.translate(last, "ACGT", "TGCA"), k), 1).bitwiseXOR(_value(s, True))
+        return F.struct(F.lit(side).alias("side"), s.alias("symbol"), near["kmer"].alias("kmer"), f.alias("fw"), r.alias("rc"))
+
+    return F.transform(extensions(kmer, side), make)

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.arrays import flat, slices
 from strandlake.functions.alphabet import DNA
 from strandlake.functions.hashing import rotl
-from strandlake.kmers import kmers
+from strandlake.kmers import PACKED_K, kmers, pack, pack_reverse, window_codes
 from strandlake.tables import ship_package
 
 #: Constants of the published algorithm; fixed values.
@@ -51,17 +52,52 @@ def murmur64(rows: np.ndarray, seed: int = SEED) -> np.ndarray:
         return h1 + h2
 
 
+#: K-mers whose texts are hashed at once.
+_ROWS = 1 << 16
+_SWAP = np.arange(256, dtype=np.uint8)
+for _a, _b in zip(b"ACGT", b"TGCA", strict=True):
+    _SWAP[_a] = _b
+
+
 def murmur_kmers(reads: DataFrame, k: int, seed: int = SEED, keep: tuple[str, ...] = ("seq_no",)) -> DataFrame:
-    """(*keep, pos, h) of every k-mer without an ambiguous symbol: the hash of the lesser of it and its reverse complement."""
+    """(*keep, pos, h) of every k-mer without an ambiguous symbol: the hash of the lesser of it and its reverse complement.
+
+    Windows of whole batches are compared packed and hashed together; k-mers too
+    long to be packed are cut and compared as texts.
+    """
     ship_package(reads)
+    if k > PACKED_K:
+        return _long_murmur(reads, k, seed, keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at, piece, offset in slices(*flat(batch.column("sequence")), k - 1):
+                codes, start, row = window_codes(data, at, k)
+                if len(start) == 0:
+                    continue
+                turned = pack_reverse(codes, k) < pack(codes, k)
+                texts, other = np.lib.stride_tricks.sliding_window_view(data, k), np.lib.stride_tricks.sliding_window_view(_SWAP[data[::-1]], k)[::-1]
+                h = np.empty(len(start), np.uint64)
+                for i in range(0, len(start), _ROWS):
+                    own = start[i : i + _ROWS]
+                    h[i : i + _ROWS] = murmur64(np.where(turned[own, None], other[own], texts[own]), seed)
+                rows = pa.array(piece[row])
+                place = pa.array((start - at[row] + offset[row]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), place, pa.array(h.view(np.int64))], names=[*keep, "pos", "h"])
+
+    kinds = dict(reads.dtypes)
+    return reads.select(*keep, "sequence").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "pos int, h long")
+
+
+def _long_murmur(reads: DataFrame, k: int, seed: int, keep: tuple[str, ...]) -> DataFrame:
     rows = kmers(reads, k, keep).where(F.col("kmer").rlike("^[ACGT]*$"))
     rows = rows.select(*keep, "pos", F.least("kmer", DNA.reverse_complement(F.col("kmer"))).alias("kmer"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                flat = np.frombuffer("".join(batch.column("kmer").to_pylist()).encode(), np.uint8)
-                h = pa.array(murmur64(flat.reshape(-1, k), seed).view(np.int64))
+                data = np.frombuffer("".join(batch.column("kmer").to_pylist()).encode(), np.uint8)
+                h = pa.array(murmur64(data.reshape(-1, k), seed).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "pos")), h], names=[*keep, "pos", "h"])
 
     kinds = dict(rows.dtypes)

@@ -2,24 +2,74 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.hashing import sequence_hashes
+from strandlake.kmers import PACKED_K, pack, window_codes
+from strandlake.tables import ship_package
+
+#: Reads of a block, within which the places of one k-mer are sorted together.
+BLOCK = 4096
+
+
+def running_counts(kmers: DataFrame, key: str = "kmer", block: int = BLOCK) -> DataFrame:
+    """kmers with ``count``: how often the key was inserted up to and including this one, in read order.
+
+    A frequent k-mer is ranked by blocks of reads, and the counts of the blocks
+    before are added, so that its places are never sorted in one task.
+    """
+    rows = kmers.withColumn("__b", F.floor(F.col("seq_no") / block))
+    totals = rows.groupBy(key, "__b").agg(F.count("*").alias("__n"))
+    before = totals.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__b")) - F.col("__n")).where("__before > 0").drop("__n")
+    rank = F.row_number().over(Window.partitionBy(key, "__b").orderBy("seq_no", "pos"))
+    joined = rows.withColumn("__r", rank).join(before, [key, "__b"], "left")
+    return joined.withColumn("count", F.col("__r") + F.coalesce("__before", F.lit(0))).select(*kmers.columns, "count")
+
 
-def running_counts(kmers: DataFrame, key: str = "kmer") -> DataFrame:
-    """kmers with ``count``: how often the key was inserted up to and including this one, in read order."""
-    return kmers.withColumn("count", F.row_number().over(Window.partitionBy(key).orderBy("seq_no", "pos")))
+def first_places(kmers: DataFrame, n: int = 1, key: str = "kmer", block: int = BLOCK) -> DataFrame:
+    """(key, seq_no, pos) of the first ``n`` places of every k-mer in read order; only n a block of reads go on."""
+    place = F.struct("seq_no", "pos")
+    if n == 1:
+        return kmers.groupBy(key).agg(F.min(place).alias("p")).select(key, "p.seq_no", "p.pos")
+    rows = kmers.select(key, "seq_no", "pos")
+    for by in ([key, F.floor(F.col("seq_no") / block)], [key]):
+        rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("seq_no", "pos"))).where(F.col("__r") <= n).drop("__r")
+    return rows
 
 
 def solid_reads(kmers: DataFrame, threshold: int, min_prop: float, key: str = "kmer") -> DataFrame:
     """(seq_no, n_kmers, n_low, passed): a read is rejected if its share of k-mers below the
-    threshold, counted after its own insertion, is at least 1 - min_prop (so 1.0 rejects all)."""
-    counted = running_counts(kmers, key)
-    out = counted.groupBy("seq_no").agg(F.count("*").alias("n_kmers"), F.count_if(F.col("count") < threshold).alias("n_low"))
+    threshold, counted after its own insertion, is at least 1 - min_prop (so 1.0 rejects all).
+
+    The k-mers below the threshold are those at the first threshold - 1 places of
+    their kind, so no k-mer's later places are ever sorted.
+    """
+    every = kmers.groupBy("seq_no").agg(F.count("*").alias("n_kmers"))
+    if threshold <= 1:
+        out = every.withColumn("n_low", F.lit(0).cast("long"))
+    else:
+        low = first_places(kmers, threshold - 1, key).groupBy("seq_no").agg(F.count("*").alias("n_low"))
+        out = every.join(low, "seq_no", "left").withColumn("n_low", F.coalesce("n_low", F.lit(0)))
     return out.withColumn("passed", ~(F.col("n_low") / F.col("n_kmers") >= 1 - min_prop))
 
 
+def count_vectors(kmers: DataFrame, store: DataFrame, key: str = "kmer") -> DataFrame:
+    """(seq_no, counts): the count in a store of every k-mer of a read, in order of place; 0 where it has none."""
+    joined = kmers.join(store, key, "left").select("seq_no", F.struct("pos", F.coalesce("count", F.lit(0)).alias("count")).alias("x"))
+    rows = joined.groupBy("seq_no").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("seq_no", F.transform("xs", lambda x: x["count"]).alias("counts"))
+
+
+def new_kmers(kmers: DataFrame, store: DataFrame, key: str = "kmer") -> DataFrame:
+    """K-mers of reads that a store does not have."""
+    return kmers.join(store.select(key), key, "left_anti")
+
+
 def median_at_least(kmers: DataFrame, store: DataFrame, cutoff: int, key: str = "kmer") -> DataFrame:
     """(seq_no, passed): at least floor(0.5 + n/2) of a read's k-mers have count >= cutoff in a fixed store."""
     joined = kmers.join(store, key, "left")
@@ -28,11 +78,12 @@ def median_at_least(kmers: DataFrame, store: DataFrame, cutoff: int, key: str =
     return joined.groupBy("seq_no").agg((high >= F.floor(0.5 + n / 2)).alias("passed"))
 
 
-def median_in_range(kmers: DataFrame, store: DataFrame, low: int, high: int, key: str = "kmer") -> DataFrame:
-    """(seq_no, median, passed): upper median with low < median <= high."""
+def median_in_range(kmers: DataFrame, store: DataFrame, low: int, high: int, key: str = "kmer", hashes: bool = False) -> DataFrame:
+    """(seq_no, median, passed): upper median with low < median <= high; with ``hashes`` also the read's keys in order of place."""
     joined = kmers.join(store, key, "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    rows = joined.groupBy("seq_no").agg(F.sort_array(F.collect_list("count")).alias("c"))
-    rows = rows.select("seq_no", F.element_at("c", (F.size("c") / 2).cast("int") + 1).alias("median"))
+    keys = [F.transform(F.array_sort(F.collect_list(F.struct("pos", key))), lambda x: x[key]).alias("hashes")] if hashes else []
+    rows = joined.groupBy("seq_no").agg(F.sort_array(F.collect_list("count")).alias("c"), *keys)
+    rows = rows.select("seq_no", F.element_at("c", (F.size("c") / 2).cast("int") + 1).alias("median"), *(["hashes"] if hashes else []))
     return rows.withColumn("passed", (F.col("median") > low) & (F.col("median") <= high))
 
 
@@ -49,28 +100,88 @@ def solid_segments(kmers: DataFrame, store: DataFrame, min_abundance: int, key:
 
 def new_segments(kmers: DataFrame, key: str = "kmer") -> DataFrame:
     """Runs of k-mers that no earlier position held."""
-    return segments(running_counts(kmers, key).withColumn("flag", F.col("count") == 1))
+    return segments(first_places(kmers, 1, key).withColumn("flag", F.lit(True)))
 
 
-def digital_normalisation(kmers: DataFrame, cutoff: int, key: str = "kmer", sample: str | None = None) -> DataFrame:
-    """(seq_no, passed) of exact digital normalisation within each sample.
+def segment_sequences(reads: DataFrame, segment: DataFrame, k: int) -> DataFrame:
+    """(seq_no, start, sequence) of the text under segments of k-mer positions."""
+    rows = reads.select("seq_no", "sequence").join(segment, "seq_no")
+    return rows.select("seq_no", "start", F.substr("sequence", F.col("start") + 1, F.col("end") - F.col("start") + k - 1).alias("sequence"))
 
-    A read's verdict changes the counts that later reads see, so each sample is
-    one ordered pass; samples run side by side.  Rejected reads are not counted.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[str, int] = {}
-        out = []
-        for seq_no, own in rows.sort_values(["seq_no", "pos"]).groupby("seq_no", sort=True):
-            keys = own[key].tolist()
-            high = sum(counts.get(x, 0) >= cutoff for x in keys)
-            passed = high < int(0.5 + len(keys) / 2)
-            if passed:
-                for x in keys:
-                    counts[x] = counts.get(x, 0) + 1
-            out.append((seq_no, passed))
-        return pd.DataFrame(out, columns=["seq_no", "passed"])
-
-    grouped = kmers.groupBy(sample) if sample else kmers.withColumn("__sample", F.lit(0)).groupBy("__sample")
-    return grouped.applyInPandas(run, "seq_no long, passed boolean")
+class _Counts:
+    """Counts of k-mer keys in sorted arrays: a large one, and a small one of what came last, which is merged in when it grows."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(2)]
+
+    def at_least(self, keys: np.ndarray, cutoff: int) -> int:
+        total = np.zeros(len(keys), np.int64)
+        for known, count in self.parts:
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            total[hit] += count[at[hit]]
+        return int(np.count_nonzero(total >= cutoff))
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts[1] = self._merged(self.parts[1], np.unique(keys, return_counts=True))
+        if len(self.parts[1][0]) > 4096 + len(self.parts[0][0]) // 16:
+            self.parts = [self._merged(*self.parts), (np.zeros(0, np.int64), np.zeros(0, np.int32))]
+
+    @staticmethod
+    def _merged(a, b):
+        keys, place = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate((a[1], b[1])), len(keys)).astype(np.int32)
+
+
+def digital_normalisation(reads: DataFrame, k: int, cutoff: int, sample: str = "sample") -> DataFrame:
+    """(sample, seq_no, n_kmers, passed) of exact digital normalisation within each sample.
+
+    A read is rejected if at least floor(0.5 + n/2) of its k-mers have been counted
+    ``cutoff`` times; rejected reads are not counted, so each verdict changes what
+    later reads see.  A sample is thus one ordered pass, samples side by side:
+    reads travel as they are, sorted, one batch at a time, and are hashed inside.
+    Only the sample's distinct k-mers are held.  Reads shorter than k pass.
+    """
+    ship_package(reads)
+
+    def keys_of(text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        if k > PACKED_K:
+            return sequence_hashes(data, k)[0].view(np.int64)
+        codes, start, _ = window_codes(data, np.array([0, len(data)]), k)
+        return pack(codes, k)[start]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = object(), _Counts()
+        for batch in batches:
+            sizes, passed = [], []
+            for name, text in zip(batch.column("__sample").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+                if name != at:
+                    at, counts = name, _Counts()
+                keys = keys_of(text)
+                ok = len(keys) == 0 or counts.at_least(keys, cutoff) < int(0.5 + len(keys) / 2)
+                if ok and len(keys):
+                    counts.add(keys)
+                sizes.append(len(keys))
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("__sample"), batch.column("seq_no"), pa.array(sizes, pa.int64()), pa.array(passed, pa.bool_())], names=["sample", "seq_no", "n_kmers", "passed"])
+
+    name = F.col(sample).cast("string") if sample in reads.columns else F.lit("")
+    rows = reads.select(F.coalesce(name, F.lit("")).alias("__sample"), F.col("seq_no").cast("long").alias("seq_no"), "sequence")
+    rows = rows.repartition("__sample").sortWithinPartitions("__sample", "seq_no")
+    return rows.mapInArrow(run, "sample string, seq_no long, n_kmers long, passed boolean")
+
+
+def filter_metrics(verdicts: DataFrame, interval: int) -> DataFrame:
+    """(sample, tick, seq_t, t, n_seqs_passed, p_seqs_passed) at the end of every ``interval`` k-mers of a filter's run.
+
+    verdicts: (sample, seq_no, n_kmers, passed).  Running sums by sample; ticks keep the remainder.
+    """
+    order = Window.partitionBy("sample").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    run = verdicts.select(
+        "sample", "seq_no", F.sum("n_kmers").over(order).alias("t"), F.count("*").over(order).alias("seq_t"), F.sum(F.col("passed").cast("long")).over(order).alias("n_seqs_passed")
+    ).withColumn("tick", F.floor(F.col("t") / interval))
+    last = run.groupBy("sample", "tick").agg(F.max(F.struct("seq_no", "t", "seq_t", "n_seqs_passed")).alias("x")).where("tick > 0")
+    return last.select("sample", "tick", "x.seq_t", "x.t", "x.n_seqs_passed", (F.col("x.n_seqs_passed") / F.col("x.seq_t")).alias("p_seqs_passed"))

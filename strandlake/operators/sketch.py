@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.hashing import max_hash_for_scaled, unsigned_key
+from strandlake.tables import stored
 
 
 def portable_hash(kmer: Column) -> Column:
@@ -13,20 +18,54 @@ def portable_hash(kmer: Column) -> Column:
     return F.conv(F.substring(F.md5(kmer.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def bottom(hashes: DataFrame, n: int, by: str | None = None, key: str = "h") -> DataFrame:
-    """The n least distinct hashes (unsigned), of each group ``by`` if given, with their ``abundance``."""
-    rows = hashes.groupBy(*([by] if by else []), key).agg(F.count("*").alias("abundance"))
+def _task_bottom(n: int):
+    """Arrow kernel: the n least distinct hashes of a task, with their counts.
+
+    A hash that n lesser ones have displaced cannot come back, so the counts of
+    those that stay are whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            h = np.asarray(batch.column("h")).view(np.uint64)
+            w = np.asarray(batch.column("n"))
+            if len(keys) == n:
+                near = h <= keys[-1]
+                h, w = h[near], w[near]
+            every, place = np.unique(np.concatenate((keys, h)), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, place, np.concatenate((counts, w)))
+            keys, counts = every[:n], total[:n]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
+
+    return run
+
+
+def bottom(hashes: DataFrame, n: int, by: str | None = None, key: str = "h", weight: str | None = None) -> DataFrame:
+    """The n least distinct hashes (unsigned), of each group ``by`` if given, with their ``abundance``.
+
+    Without groups each task gives its own n least, and only those are shuffled.
+    """
+    order = unsigned_key(F.col(key))
+    count = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     if by is None:
-        return rows.orderBy(unsigned_key(F.col(key))).limit(n)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(unsigned_key(F.col(key))))
+        rows = hashes.where(F.col(key).isNotNull()).select(F.col(key).alias("h"), count.alias("n")).mapInArrow(_task_bottom(n), "h long, n long")
+        return rows.groupBy(F.col("h").alias(key)).agg(F.sum("n").alias("abundance")).orderBy(order).limit(n)
+    rows = hashes.groupBy(by, key).agg(F.sum(count).alias("abundance"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
     return rows.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 
 
+def _edge(scale: int) -> Column:
+    """The largest hash of a scaled sketch, as a signed long."""
+    top = max_hash_for_scaled(scale)
+    return F.lit(top if top < 1 << 63 else top - (1 << 64))
+
+
 def scaled(hashes: DataFrame, scale: int, by: str | None = None, key: str = "h") -> DataFrame:
     """Distinct hashes up to 2**64 / scale, with their abundance."""
-    top = max_hash_for_scaled(scale)
-    edge = F.lit((top if top < 1 << 63 else top - (1 << 64)))
-    kept = hashes if top == 0 else hashes.where(unsigned_key(F.col(key)) <= unsigned_key(edge))
+    kept = hashes if scale == 0 else hashes.where(unsigned_key(F.col(key)) <= unsigned_key(_edge(scale)))
     return kept.groupBy(*([by] if by else []), key).agg(F.count("*").alias("abundance"))
 
 
@@ -42,36 +81,106 @@ def removed(sketch: DataFrame, hashes: DataFrame, key: str = "h") -> DataFrame:
 def similarity(sketches: DataFrame, by: str, key: str = "h") -> DataFrame:
     """(a, b, common, n_a, n_b, jaccard) of all groups that share a hash, a < b.
 
-    Joined on hashes, so groups with nothing in common are never paired.
+    Groups with the same hashes form a class, and classes are paired, joined on
+    hashes: copies do not multiply a frequent hash's pairs, and groups with
+    nothing in common are never paired.
     """
-    n = sketches.groupBy(by).agg(F.count("*").alias("n"))
-    x = sketches.select(F.col(by).alias("a"), key)
-    y = sketches.select(F.col(by).alias("b"), key)
-    common = x.join(y, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = common.join(n.select(F.col(by).alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col(by).alias("b"), F.col("n").alias("n_b")), "b")
+    sets = sketches.groupBy(by).agg(F.array_sort(F.collect_set(key)).alias("__s"))
+    own = stored(sets.select(by, F.size("__s").cast("long").alias("n"), F.xxhash64("__s").alias("__a"), F.sha1(F.concat_ws(",", F.transform("__s", lambda x: x.cast("string"))).cast("binary")).alias("__d"), "__s"), "sketches")
+    classes = own.groupBy("__a", "__d").agg(F.min(by).alias("rep"), F.first("n").alias("n"), F.first("__s").alias("__s"))
+    classes = stored(classes, "classes")
+    members = own.select(by, "__a", "__d").join(classes.select("__a", "__d", "rep", "n"), ["__a", "__d"]).select(by, "rep", "n")
+    rows = classes.select("rep", F.explode("__s").alias(key))
+    x, y = rows.select(F.col("rep").alias("x"), key), rows.select(F.col("rep").alias("y"), key)
+    common = x.join(y, key).where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
+    # pairs of classes, either way round, and of each class with itself
+    whole = classes.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("common"))
+    pairs = common.unionByName(common.select(F.col("y").alias("x"), F.col("x").alias("y"), "common")).unionByName(whole)
+    m = lambda side, other: members.select(F.col(by).alias(other), F.col("rep").alias(side), F.col("n").alias(f"n_{other}"))
+    out = pairs.join(m("x", "a"), "x").join(m("y", "b"), "y").where("a < b")
     return out.select("a", "b", "common", "n_a", "n_b", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"))
 
 
+def class_similarity(sketches: DataFrame, by: str, key: str = "h") -> tuple[DataFrame, DataFrame]:
+    """As ``similarity``, in two tables that do not grow with the square of a group of copies:
+    (by, rep) of all groups, and (a, b, common, n_a, n_b, jaccard) of their representatives."""
+    sets = sketches.groupBy(by).agg(F.array_sort(F.collect_set(key)).alias("__s"))
+    reps = stored(sets.select(by, F.min(by).over(Window.partitionBy("__s")).alias("rep"), "__s"), "classes")
+    rows = reps.where(F.col(by) == F.col("rep")).select("rep", F.explode("__s").alias(key))
+    return reps.select(by, "rep"), similarity(rows, "rep", key)
+
+
+def downsampled(sketch: DataFrame, scale: int, key: str = "h") -> DataFrame:
+    """A scaled sketch with the lower bound of a larger scale."""
+    return sketch.where(unsigned_key(F.col(key)) <= unsigned_key(_edge(scale)))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str = "h", num: int = 0) -> DataFrame:
+    """One row: common, n_a, n_b, jaccard, containment of a in b, angular similarity of abundances.
+
+    With ``num`` (sketches of the num least hashes) the union is cut to its num least, as such sketches demand.
+    """
+    x = a.select(key, F.col("abundance").alias("x"))
+    y = b.select(key, F.col("abundance").alias("y"))
+    both = x.join(y, key, "full")
+    if num:
+        both = both.orderBy(unsigned_key(F.col(key))).limit(num)
+    shared = F.col("x").isNotNull() & F.col("y").isNotNull()
+    dot = F.sum(F.when(shared, F.col("x") * F.col("y")).otherwise(0)).cast("double")
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)).cast("double"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (norm("x") * norm("y"))))
+    return both.agg(
+        F.count_if(shared).alias("common"), F.count("x").alias("n_a"), F.count("y").alias("n_b"), (F.count_if(shared) / F.count("*")).alias("jaccard"),
+        (F.count_if(shared) / F.count("x")).alias("containment"), (1 - 2 * F.acos(cosine) / F.pi()).alias("angular"),
+    )
+
+
+def compared(sketches: DataFrame, by: str, num: int, key: str = "h", most: int = 1000) -> DataFrame:
+    """(a, b, common, jaccard) of all pairs of a stated set of at most ``most`` bottom-``num`` sketches, over the num least hashes of both."""
+    names = stored(sketches.select(by).distinct().limit(most + 1), "names")
+    if names.count() > most:
+        raise ValueError(f"{most} sketches at most are compared with one another")
+    x, y = names.select(F.col(by).alias("a")), names.select(F.col(by).alias("b"))
+    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b"))
+    side = lambda c, n: pairs.join(sketches.select(F.col(by).alias(c), key), c).select("a", "b", key, F.lit(n).alias("n"))
+    rows = side("a", 1).unionByName(side("b", 2)).groupBy("a", "b", key).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(unsigned_key(F.col(key))))
+    rows = rows.withColumn("__r", rank).where(F.col("__r") <= num)
+    return rows.groupBy("a", "b").agg(F.count_if(F.col("n") == 3).alias("common"), (F.count_if(F.col("n") == 3) / F.count("*")).alias("jaccard"))
+
+
+def intersection(a: DataFrame, b: DataFrame, key: str = "h") -> DataFrame:
+    return a.select(key).join(b.select(key), key, "left_semi").distinct()
+
+
 def prefix_similarities(kmers: DataFrame, tick: str, n: int, key: str = "h") -> DataFrame:
     """(tick, size, common, similarity): the bottom-n sketch of everything up to a tick against the tick before.
 
-    A hash's first tick decides from when it is in the set, so each tick adds
-    only its new hashes; the sketch at a tick is the n least of those so far.
+    A hash is in the set from its first tick on.  Only hashes among the n least
+    of their own first tick's news can enter a sketch, n a tick at most; one pass
+    over those in order of ticks, one running sketch of n hashes, does the rest.
     """
-    first = kmers.groupBy(key).agg(F.min(tick).alias("first"))
-    # a hash that is not among the n least of its own first tick's news is in no sketch
+    first = kmers.groupBy(key).agg(F.min(tick).cast("long").alias("first"))
     rank = F.row_number().over(Window.partitionBy("first").orderBy(unsigned_key(F.col(key))))
-    first = first.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
-    ticks = kmers.select(tick).distinct()
-    rows = ticks.join(first, F.col("first") <= F.col(tick))
-    rank = F.row_number().over(Window.partitionBy(tick).orderBy(unsigned_key(F.col(key))))
-    sketch = rows.withColumn("__r", rank).where(F.col("__r") <= n).groupBy(tick).agg(F.collect_set(key).alias("mins"))
-    before = F.lag("mins").over(Window.orderBy(tick))
-    out = sketch.withColumn("before", before).where("before is not null")
-    return out.select(
-        tick, F.size("mins").alias("size"), F.size(F.array_intersect("mins", "before")).alias("common"),
-        (F.size(F.array_intersect("mins", "before")) / F.size("mins")).alias("similarity"),
-    )
+    news = first.withColumn("__r", rank).where(F.col("__r") <= n).groupBy("first").agg(F.collect_list(key).alias("h"))
+    ticks = kmers.select(F.col(tick).cast("long").alias("first")).distinct().join(news, "first", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = []
+            for at, h in zip(batch.column("first").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                own = np.array(h or [], np.int64).view(np.uint64)
+                after = np.unique(own if held is None else np.concatenate((held, own)))[:n]
+                if held is not None:
+                    common = len(np.intersect1d(held, after))
+                    rows.append((at, len(after), common, common / len(after) if len(after) else None))
+                held = after
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=[tick, "size", "common", "similarity"])
+
+    # n hashes a tick: the one ordered task reads ticks, not k-mers
+    return ticks.repartition(1).sortWithinPartitions("first").mapInArrow(run, f"`{tick}` long, size int, common int, similarity double")
 
 
 def partition_sketch(wmers: DataFrame, n_partitions: int, by: str, key: str = "h", partition: str = "partition") -> DataFrame:

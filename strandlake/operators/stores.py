@@ -7,17 +7,18 @@ the hash modulo each of a few primes, so two builds of a store agree bit by bit.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.hashing import primes_near, unsigned_mod
+from strandlake.functions.hashing import primes_near, unsigned_key, unsigned_mod
 
 
-def exact_counts(hashes: DataFrame, key: str = "h") -> DataFrame:
-    """(key, count); partial counts are summed before the shuffle."""
-    return hashes.groupBy(key).agg(F.count("*").alias("count"))
+def exact_counts(hashes: DataFrame, key: str = "h", weight: str | None = None) -> DataFrame:
+    """(key, count); partial counts are summed before the shuffle.  weight: a column of counts to add up instead of rows."""
+    return hashes.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("count"))
 
 
 def exact_set(hashes: DataFrame, key: str = "h") -> DataFrame:
@@ -43,8 +44,8 @@ def table_sizes(table_size: int, n_tables: int) -> list[int]:
 
 
 def bloom(hashes: DataFrame, sizes: list[int], key: str = "h") -> DataFrame:
-    """Occupied bins (tab, bin)."""
-    return _bins(hashes, sizes, key).select("tab", "bin").distinct()
+    """Occupied bins (tab, bin); hashes are made distinct before each is dealt to all tables."""
+    return _bins(hashes.select(key).distinct(), sizes, key).select("tab", "bin").distinct()
 
 
 def bloom_query(store: DataFrame, hashes: DataFrame, sizes: list[int], key: str = "h") -> DataFrame:
@@ -57,9 +58,9 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def count_min(hashes: DataFrame, sizes: list[int], cap: int = 255, key: str = "h") -> DataFrame:
-    """(tab, bin, count): increments per bin up to ``cap`` (255 for bytes, 15 for nibbles)."""
-    counts = exact_counts(hashes, key)
+def count_min(hashes: DataFrame, sizes: list[int], cap: int = 255, key: str = "h", weight: str | None = None) -> DataFrame:
+    """(tab, bin, count): increments per bin up to ``cap`` (255 for bytes, 15 for nibbles, 65,535 with big counts)."""
+    counts = exact_counts(hashes, key, weight)
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), unsigned_mod(F.col(key), p).alias("bin")) for i, p in enumerate(sizes)])
     rows = counts.select("count", F.explode(tables).alias("b")).select("b.tab", "b.bin", "count")
     return rows.groupBy("tab", "bin").agg(F.least(F.sum("count"), F.lit(cap)).cast("int").alias("count"))
@@ -71,14 +72,28 @@ def count_min_query(store: DataFrame, hashes: DataFrame, sizes: list[int], key:
     return hits.groupBy(key).agg(F.min(F.coalesce("count", F.lit(0))).alias("count"))
 
 
-def quotient_counts(hashes: DataFrame, size: int, key: str = "h") -> DataFrame:
+def quotient_counts(hashes: DataFrame, size: int, key: str = "h", weight: str | None = None) -> DataFrame:
     """(slot, count) of a counting quotient filter with 2**size slots and 8 remainder bits."""
-    return hashes.groupBy(F.col(key).bitwiseAND(F.lit((1 << (size + 8)) - 1)).alias("slot")).agg(F.count("*").alias("count"))
+    slot = F.col(key).bitwiseAND(F.lit((1 << (size + 8)) - 1)).alias("slot")
+    return hashes.groupBy(slot).agg((F.count("*") if weight is None else F.sum(weight)).alias("count"))
 
 
 def n_unique_estimate(hashes: DataFrame, error: float = 0.01, key: str = "h") -> DataFrame:
-    """Distinct hashes by a HyperLogLog sketch."""
-    return hashes.agg(F.approx_count_distinct(key, max(error, 0.01)).alias("n_unique"))
+    """Distinct hashes by a HyperLogLog sketch with a standard error of at most ``error`` (0.0003 is the least there is)."""
+    bits = max(4, math.ceil(math.log2((1.04 / error) ** 2)))
+    if bits > 21:
+        raise ValueError("no sketch has so small an error")
+    return hashes.agg(F.hll_sketch_estimate(F.hll_sketch_agg(key, bits)).alias("n_unique"))
+
+
+def most_frequent(hashes: DataFrame, n: int, key: str = "h", weight: str | None = None) -> DataFrame:
+    """(key, count) of the n most frequent hashes, of equal ones the lesser: partial counts, then a top-n of each task."""
+    return exact_counts(hashes, key, weight).orderBy(F.desc("count"), unsigned_key(F.col(key))).limit(n)
+
+
+def ordered(store: DataFrame, key: str = "h") -> DataFrame:
+    """A store's rows in ascending order of unsigned hashes, range-partitioned, for scans in order."""
+    return store.orderBy(unsigned_key(F.col(key)))
 
 
 def occupancy(store: DataFrame, sizes: list[int]) -> DataFrame:
@@ -89,13 +104,69 @@ def occupancy(store: DataFrame, sizes: list[int]) -> DataFrame:
 
 def partition_counts(hashes: DataFrame, n_partitions: int, key: str = "h", partition: str = "partition") -> DataFrame:
     """Dense (partition, n_unique) over all partitions 0..n-1."""
-    own = hashes.groupBy(partition).agg(F.countDistinct(key).alias("n_unique"))
+    own = hashes.select(partition, key).distinct().groupBy(partition).agg(F.count("*").alias("n_unique"))
     every = hashes.sparkSession.range(n_partitions).withColumnRenamed("id", partition)
     return every.join(own, partition, "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
+class Partitioned:
+    """A store for each minimizer partition, held as one table whose rows carry their partition.
+
+    Hashes come as (partition, h); equal hashes of different partitions are
+    different entries.  Bins are of each partition's own tables.
+    """
+
+    def __init__(self, shape: Shape, n_partitions: int, rows: DataFrame):
+        self.shape, self.n_partitions, self.rows = shape, n_partitions, rows
+
+    @classmethod
+    def build(cls, hashes: DataFrame, shape: Shape, n_partitions: int) -> Partitioned:
+        counts = hashes.groupBy("partition", "h").agg(F.count("*").alias("count"))
+        if shape.kind == "exact":
+            return cls(shape, n_partitions, counts)
+        if shape.kind == "cqf":
+            slot = F.col("h").bitwiseAND(F.lit((1 << (shape.slots + 8)) - 1)).alias("slot")
+            return cls(shape, n_partitions, counts.groupBy("partition", slot).agg(F.sum("count").alias("count")))
+        bins = cls._bins(counts, shape, "count").groupBy("partition", "tab", "bin")
+        cap = 1 if shape.kind == "bloom" else CAPS[shape.kind]
+        return cls(shape, n_partitions, bins.agg(F.least(F.sum("count"), F.lit(cap)).cast("int").alias("count")))
+
+    @staticmethod
+    def _bins(rows: DataFrame, shape: Shape, *keep: str) -> DataFrame:
+        tables = F.array(*[F.struct(F.lit(i).alias("tab"), unsigned_mod(F.col("h"), p).alias("bin")) for i, p in enumerate(shape.sizes)])
+        return rows.select("partition", "h", *keep, F.explode(tables).alias("b")).select("partition", "h", *keep, "b.tab", "b.bin")
+
+    def query(self, hashes: DataFrame) -> DataFrame:
+        """(partition, h, count) of the distinct (partition, h) asked for."""
+        own = hashes.select("partition", "h").distinct()
+        if self.shape.kind in ("exact", "cqf"):
+            key = "h" if self.shape.kind == "exact" else "slot"
+            if key == "slot":
+                own = own.withColumn("slot", F.col("h").bitwiseAND(F.lit((1 << (self.shape.slots + 8)) - 1)))
+            return own.join(self.rows, ["partition", key], "left").select("partition", "h", F.coalesce("count", F.lit(0)).alias("count"))
+        hits = self._bins(own, self.shape).join(self.rows, ["partition", "tab", "bin"], "left")
+        return hits.groupBy("partition", "h").agg(F.min(F.coalesce("count", F.lit(0))).alias("count"))
+
+    def report(self) -> DataFrame:
+        """Dense (partition, n_occupied, estimated_fp): occupied bins of the first table (rows of an exact store), and (occupied / size) ** tables."""
+        binned = self.shape.kind not in ("exact", "cqf")
+        rows = self.rows.where("tab = 0") if binned else self.rows
+        own = rows.groupBy("partition").agg(F.count("*").alias("n_occupied"))
+        every = self.rows.sparkSession.range(self.n_partitions).withColumnRenamed("id", "partition").join(own, "partition", "left")
+        n = F.coalesce("n_occupied", F.lit(0))
+        fp = F.pow(n / self.shape.sizes[0], F.lit(self.shape.n_tables)) if binned else F.lit(0.0)
+        return every.select("partition", n.alias("n_occupied"), fp.alias("estimated_fp"))
+
+    def totals(self) -> DataFrame:
+        """(n_occupied, estimated_fp): the sum and the mean over all partitions."""
+        return self.report().agg(F.sum("n_occupied").alias("n_occupied"), F.avg("estimated_fp").alias("estimated_fp"))
+
+
 #: Largest count of the counting bins.
-CAPS = {"cms8": 255, "cms4": 15}
+CAPS = {"cms8": 255, "cms4": 15, "cms16": 65_535}
+
+
+KINDS = ("exact", "bloom", "cms8", "cms4", "cms16", "cqf")
 
 
 @dataclass(frozen=True)
@@ -108,9 +179,22 @@ class Shape:
     n_tables: int = 4
 
     def __post_init__(self):
-        if self.kind not in ("exact", "bloom", "cms8", "cms4", "cqf"):
+        if self.kind not in KINDS:
             raise ValueError(f"unknown store {self.kind}")
 
+    @classmethod
+    def of_args(cls, kind: str, k: int, table_size: float, n_tables: int = 4) -> Shape:
+        """From what a command line says."""
+        return cls(kind, k, int(table_size), n_tables)
+
+    @property
+    def probabilistic(self) -> bool:
+        return self.kind != "exact"
+
+    @property
+    def counting(self) -> bool:
+        return self.kind != "bloom"
+
     @property
     def sizes(self) -> list[int]:
         return table_sizes(self.table_size, self.n_tables)
@@ -128,14 +212,33 @@ class Store:
         self.shape, self.rows = shape, rows
 
     @classmethod
-    def build(cls, hashes: DataFrame, shape: Shape) -> Store:
+    def build(cls, hashes: DataFrame, shape: Shape, weight: str | None = None) -> Store:
+        """Of hashes (h), each counted once, or ``weight`` times."""
         if shape.kind == "exact":
-            return cls(shape, exact_counts(hashes))
+            return cls(shape, exact_counts(hashes, weight=weight))
         if shape.kind == "bloom":
             return cls(shape, bloom(hashes, shape.sizes))
         if shape.kind == "cqf":
-            return cls(shape, quotient_counts(hashes, shape.slots))
-        return cls(shape, count_min(hashes, shape.sizes, CAPS[shape.kind]))
+            return cls(shape, quotient_counts(hashes, shape.slots, weight=weight))
+        return cls(shape, count_min(hashes, shape.sizes, CAPS[shape.kind], weight=weight))
+
+    def empty(self) -> Store:
+        """A store of the same shape without rows."""
+        return Store(self.shape, self.rows.limit(0))
+
+    def n_occupied(self) -> DataFrame:
+        """(n_occupied): bins of the first table, slots, or keys."""
+        rows = self.rows.where("tab = 0") if "tab" in self.rows.columns else self.rows
+        return rows.agg(F.count("*").alias("n_occupied"))
+
+    def estimated_fp(self) -> DataFrame:
+        """(estimated_fp): (occupied / size) ** tables; 0 of an exact store."""
+        if self.shape.kind == "exact":
+            return self.rows.limit(0).agg(F.lit(0.0).alias("estimated_fp"))
+        n, size, tables = F.col("n_occupied"), self.shape.sizes[0], self.shape.n_tables
+        if self.shape.kind == "cqf":
+            size, tables = 1 << (self.shape.slots + 8), 1
+        return self.n_occupied().select(F.pow(n / size, F.lit(tables)).alias("estimated_fp"))
 
     def query(self, hashes: DataFrame) -> DataFrame:
         """(h, count) of the distinct ``hashes``; presence stores count 1."""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.tables import Relay
+
 
 def hitting_set(rows: DataFrame, kmer: str = "kmer", order: str = "ord") -> DataFrame:
     """(kmer, partition): distinct k-mers numbered by first appearance."""
     first = rows.groupBy(F.col(kmer).alias("kmer")).agg(F.min(order).alias("o"))
+    # the set is numbered in one task: it is a set of short k-mers, small whatever the reads
     return first.select("kmer", (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("partition"))
 
 
@@ -42,3 +45,27 @@ def read_tags(tag: DataFrame) -> DataFrame:
     """(seq_no, path): the partitions a read goes through, tag after tag, in order."""
     steps = F.array_sort(F.collect_list(F.struct("pos", "left_partition", "right_partition")))
     return tag.groupBy("seq_no").agg(steps.alias("s")).select("seq_no", F.transform("s", lambda x: F.struct(x["left_partition"], x["right_partition"])).alias("path"))
+
+
+def walks_to_tips(tag: DataFrame, tips: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, tip, end_state) of walks from tag to tag by their ``left`` until one is no tag.
+
+    tag: (key, left), one a key; tips: (key).  STOP_FWD: a tip was reached;
+    GRAPH_ERROR: what was reached is neither a tag nor a tip (tip is null then);
+    STOP_SEEN: the walk goes round; BAD_SEED: the seed is no tag.  All walks jump
+    at once, twice as far each round.
+    """
+    relay = Relay("tag-walks")
+    keys = tag.select(F.col("key").alias("up"), F.lit(True).alias("__more"))
+    state = tag.select("key", F.col("left").alias("up")).join(keys, "up", "left")
+    state = relay.put(state.select("key", F.col("up").alias("end"), F.when(F.col("__more"), F.col("up")).alias("up")))
+    rounds, n = 0, state.count()
+    while (1 << rounds) <= n and state.where("up is not null").limit(1).count():
+        far = state.select(F.col("key").alias("up"), F.col("end").alias("__e"), F.col("up").alias("__u"))
+        state = relay.put(state.join(far, "up", "left").select("key", F.coalesce("__e", "end").alias("end"), F.col("__u").alias("up")))
+        rounds += 1
+    asked = seeds.select(F.col("key").alias("seed")).distinct().join(state.withColumnRenamed("key", "seed").withColumn("__known", F.lit(True)), "seed", "left")
+    asked = asked.join(tips.select(F.col("key").alias("end"), F.lit(True).alias("__tip")).distinct(), "end", "left")
+    open_ = F.col("up").isNotNull()
+    found = F.when(F.col("__known").isNull(), "BAD_SEED").when(open_, "STOP_SEEN").when(F.col("__tip"), "STOP_FWD").otherwise("GRAPH_ERROR")
+    return asked.select("seed", F.when(~open_ & F.col("__tip"), F.col("end")).alias("tip"), found.alias("end_state"))

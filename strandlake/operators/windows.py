@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.hashing import hashed_kmers, unsigned_key, unsigned_text
+
 
 def rolling_min(df: DataFrame, value: str, order: str, w: int, by: tuple[str, ...] = ()) -> DataFrame:
     """df with ``min_value`` and ``min_at`` of the last w rows; of equal values the earliest."""
@@ -44,13 +47,13 @@ def sliding(df: DataFrame, value: str, order: str, w: int, func: str = "mean", b
     return F.when(F.count(v).over(frame) == w, stat)
 
 
-def sliding_cutoff(df: DataFrame, value: str, order: str, w: int, cutoff: float, func: str = "mean", test: str = "all", above: bool = True) -> DataFrame:
+def sliding_cutoff(df: DataFrame, value: str, order: str, w: int, cutoff: float, func: str = "mean", test: str = "all", above: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """df with ``stat`` and ``reached``: whether all (or the median) of the last w statistics pass the cutoff.
 
     above: similarities pass when larger, distances when smaller.
     """
-    out = df.withColumn("stat", sliding(df, value, order, w, func))
-    frame = Window.orderBy(order).rowsBetween(1 - w, 0)
+    out = df.withColumn("stat", sliding(df, value, order, w, func, by))
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - w, 0)
     full = F.count("stat").over(frame) == w
     if test == "all":
         edge = (F.min if above else F.max)("stat").over(frame)
@@ -61,10 +64,40 @@ def sliding_cutoff(df: DataFrame, value: str, order: str, w: int, cutoff: float,
     return out.withColumn("reached", F.when(full, passed).otherwise(False))
 
 
-def until_reached(df: DataFrame, order: str, reached: str = "reached") -> DataFrame:
-    """Rows up to the first that reached the cutoff: a limit that the data decide."""
-    seen = F.coalesce(F.max(F.col(reached).cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("__seen", seen).where("__seen = 0").drop("__seen")
+def until_reached(df: DataFrame, order: str, reached: str = "reached", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, of each group ``by``, up to the first that reached the cutoff: a limit that the data decide.
+
+    The place of that row is one aggregation; nothing is sorted.
+    """
+    first = df.groupBy(*by).agg(F.min(F.when(F.col(reached), F.col(order))).alias("__first"))
+    rows = df.join(first, list(by)) if by else df.crossJoin(F.broadcast(first))
+    return rows.where(F.col("__first").isNull() | (F.col(order) <= F.col("__first"))).drop("__first")
+
+
+def applied(df: DataFrame, value: str, order: str, w: int, function: Callable[[np.ndarray], np.ndarray], by: str) -> DataFrame:
+    """df with ``stat``: any function of a matrix of sliding windows, a row each, null until there are w values; groups side by side."""
+    if w < 2:
+        raise ValueError("a window has two values at least")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        stat = np.full(len(rows), np.nan)
+        if len(rows) >= w:
+            stat[w - 1 :] = function(np.lib.stride_tricks.sliding_window_view(rows[value].to_numpy(float), w))
+        return rows.assign(stat=pd.Series(stat, rows.index).astype(object).where(~np.isnan(stat), None))
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.groupBy(by).applyInPandas(run, f"{kinds}, stat double")
+
+
+def kmer_minimizers(reads: DataFrame, w: int, k: int, canonical: bool = False) -> DataFrame:
+    """(seq_no, pos, h, kmer): the least-hashing of every w k-mers in a row, each place once; of equal hashes the earliest."""
+    hashes = hashed_kmers(reads, k).select("seq_no", "pos", (F.col("h") if canonical else F.col("fw")).alias("h"))
+    frame = Window.partitionBy("seq_no").orderBy("pos").rowsBetween(1 - w, 0)
+    least = F.min(F.struct(unsigned_key(F.col("h")).alias("o"), "pos", "h")).over(frame)
+    rows = hashes.select("seq_no", "pos", least.alias("m")).where(F.col("pos") >= w - 1).select("seq_no", "m.pos", "m.h").distinct()
+    text = F.substr("sequence", F.col("pos").cast("int") + 1, F.lit(k))
+    return rows.join(reads.select("seq_no", "sequence"), "seq_no").select("seq_no", "pos", unsigned_text(F.col("h")).alias("h"), text.alias("kmer"))
 
 
 def pairwise(df: DataFrame, value: str, order: str, f: Callable[[Column, Column], Column], by: tuple[str, ...] = (), step: int = 1) -> Column:
@@ -91,10 +124,18 @@ def interval_ticks(df: DataFrame, order: str, size: str, interval: int, sample:
     return df.select(sample, order, size).groupBy(sample).applyInPandas(run, f"{sample} {kinds[sample]}, {order} {kinds[order]}, tick long, t long")
 
 
-def floor_ticks(df: DataFrame, order: str, size: str, interval: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with ``t`` (running size) and ``tick`` = floor(t / interval): ticks that keep the remainder."""
-    t = F.sum(size).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("t", t).withColumn("tick", F.floor(F.col("t") / interval))
+def floor_ticks(df: DataFrame, order: str, size: str, interval: int, by: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """df with ``t`` (running size) and ``tick`` = floor(t / interval): ticks that keep the remainder.
+
+    Sums run within blocks of the (whole-numbered) order; only the blocks' totals are summed in one task.
+    """
+    keys = [*by, "__b"]
+    rows = df.withColumn("__b", F.floor(F.col(order) / block))
+    totals = rows.groupBy(*keys).agg(F.sum(size).alias("__n"))
+    before = totals.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    own = F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__own", own).join(before.drop("__n"), keys)
+    return rows.withColumn("t", F.col("__own") + F.col("__before")).withColumn("tick", F.floor(F.col("t") / interval)).drop("__b", "__own", "__before")
 
 
 def every_n(ticks: Iterable[int], n: int) -> list[int]:

@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.murmur import murmur_kmers
-from strandlake.operators import graph, sketch
-from strandlake.kmers import kmers
+from strandlake.operators import sketch
+from strandlake.plans.common import query, table
 from strandlake.plans.projection import READS_SQL, reads
-from strandlake.sources import fastx, graph_files, signatures
+from strandlake.sources import fastx, signatures
 from strandlake.streaming import runner
 from strandlake.tables import shared_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _NAMED = f"select seq_no::varchar as name, sequence, length(sequence)::int as n from ({READS_SQL})"
 
 
@@ -56,7 +35,7 @@ select item_id, item_id % 3 <> 1 as is_pair, item_id % 3 <> 1 as is_left, item_i
 def mate_pairs(spark, sf_dir):
     i = F.col("item_id") % 3
     name = F.concat(F.lit("r"), F.col("item_id").cast("string"))
-    rows = _table(spark, sf_dir, "benchmark").select(
+    rows = table(spark, sf_dir, "benchmark").select(
         "item_id", F.concat(name, F.when(i == 0, "/1").otherwise("")).alias("l"), F.concat(name, F.when(i == 0, "/2").when(i == 1, "x").otherwise("")).alias("r"),
         F.when(i == 2, "1:N:0").alias("lc"), F.when(i == 2, "2:N:0").alias("rc"),
     )
@@ -64,11 +43,6 @@ def mate_pairs(spark, sf_dir):
     return rows.select("item_id", fastx.is_pair(l, lc, r, rc).alias("is_pair"), fastx.is_left(l, lc).alias("is_left"), fastx.is_right(r, rc).alias("is_right"))
 
 
-@query()
-def graph_gfa(spark, sf_dir):
-    return graph_files.gfa_lines(graph.Compacted(graph.nodes(kmers(reads(spark, sf_dir), 15)), 15)).select("value")
-
-
 @query()
 def minhash_signature_round_trip(spark, sf_dir):
     rows = murmur_kmers(reads(spark, sf_dir).withColumn("name", (F.col("seq_no") % 7).cast("string")), 21, keep=("name", "seq_no"))
@@ -82,12 +56,12 @@ _WINDOWS = "select time_bucket(interval 1 hour, ts) as window_start, event_type,
 
 @query(_WINDOWS)
 def event_time_windows(spark, sf_dir):
-    return runner.event_windows(_table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+    return runner.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
 @query(_WINDOWS)
 def streamed_event_windows(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     path = shared_path(spark, "windows")
     windows = runner.event_windows(stream).writeStream.outputMode("complete").option("checkpointLocation", shared_path(spark, "stream"))
@@ -99,4 +73,4 @@ def streamed_event_windows(spark, sf_dir):
 s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as s from g)
 select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*)::bigint as n from s group by user_id, s""")
 def event_sessions(spark, sf_dir):
-    return runner.sessions(_table(spark, sf_dir, "events"))
+    return runner.sessions(table(spark, sf_dir, "events"))

@@ -2,430 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strandlake.plans import graph_queries, hitting_queries, io_queries, kmer_queries, ordered_queries, store_queries  # noqa: F401
+from strandlake.plans.common import ORACLE_SQL, QUERIES
+from strandlake.plans.kmer_queries import flagship
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandlake.functions import distances, protein
-from strandlake.functions.alphabet import DNA, DNAN, IUPAC
-from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned_text
-from strandlake.kmers import kmers
-from strandlake.operators import filters, graph, sketch, stores, tags, windows
-from strandlake.plans import io_queries
-from strandlake.plans.projection import LETTERS, READS_SQL, reads
-from strandlake.tables import shared_path
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _kmers_sql(k: int, reads_sql: str = READS_SQL) -> str:
-    return f"""r as ({reads_sql}),
-    k as (select seq_no, i - 1 as pos, substr(sequence, i, {k}) as kmer
-          from (select seq_no, sequence, unnest(range(1, length(sequence) - {k - 2})) as i from r where length(sequence) >= {k}))"""
-
-
-ITEMS_SQL = READS_SQL.replace("doc_id as", "item_id as").replace("from documents", "from benchmark")
-
-
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir, "benchmark", "item_id")
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-K = 21
-
-
-# --- k-mers and alphabets
-
-
-@query(f"""with {_kmers_sql(K)}, c as (select kmer, count(*) as n from k group by kmer)
-select count(*)::bigint as n_unique, count(*) filter (n >= 2)::bigint as n_solid, sum(n)::bigint as n_kmers from c""")
-def kmer_summary(spark, sf_dir):
-    counts = stores.exact_counts(kmers(reads(spark, sf_dir), K), "kmer")
-    return counts.agg(F.count("*").alias("n_unique"), F.count_if(F.col("count") >= 2).alias("n_solid"), F.sum("count").alias("n_kmers"))
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_summary(spark, sf_dir)
-
-
-@query(f"""with {_kmers_sql(K)} select n as abundance, count(*)::bigint as n_kmers from (select count(*)::bigint as n from k group by kmer) group by n""")
-def kmer_histogram(spark, sf_dir):
-    counts = stores.exact_counts(kmers(reads(spark, sf_dir), K), "kmer")
-    return counts.groupBy(F.col("count").alias("abundance")).agg(F.count("*").alias("n_kmers"))
-
-
-@query(f"""with {_kmers_sql(11)}, c as (select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as c from k)
-select n as abundance, count(*)::bigint as n_kmers from (select count(*)::bigint as n from c group by c) group by n""")
-def canonical_kmer_histogram(spark, sf_dir):
-    rows = kmers(reads(spark, sf_dir), 11).select(F.least("kmer", DNA.reverse_complement(F.col("kmer"))).alias("c"))
-    return stores.exact_counts(rows, "c").groupBy(F.col("count").alias("abundance")).agg(F.count("*").alias("n_kmers"))
-
-
-@query(f"with r as ({READS_SQL}) select seq_no, reverse(translate(sequence, 'ACGT', 'TGCA')) as rc from r")
-def reverse_complement(spark, sf_dir):
-    return reads(spark, sf_dir).select("seq_no", DNA.reverse_complement(F.col("sequence")).alias("rc"))
-
-
-@query(f"""select doc_id, regexp_matches(upper(w), '^[ACGT]*$') as dna, regexp_matches(upper(w), '^[ACGTN]*$') as dnan,
-  regexp_matches(upper(w), '^[{IUPAC.symbols}]*$') as iupac, translate(upper(w), '{IUPAC.symbols}', '{IUPAC.complements}') as complement
-from (select doc_id, regexp_extract(text, '[A-Za-z]+') as w from documents)""")
-def alphabet_validation(spark, sf_dir):
-    # the whole text; the registered SQL still has its first run of letters only
-    text = F.col("text")
-    upper = F.translate(text, LETTERS, LETTERS.upper())
-    rows = _table(spark, sf_dir, "documents")
-    return rows.select("doc_id", DNA.is_valid(text).alias("dna"), DNAN.is_valid(text).alias("dnan"), IUPAC.is_valid(text).alias("iupac"), IUPAC.complement(upper).alias("complement"))
-
-
-def _hash_sql(k: int, column: str) -> str:
-    step = lambda c: f"case {c} when 'A' then 16664410744025174816::ubigint when 'C' then 15956807086001210932::ubigint when 'G' then 9404339731978646439::ubigint else 836480985777824379::ubigint end"
-    turn = "((h % 9223372036854775808::ubigint) * 2::ubigint + h // 9223372036854775808::ubigint)"
-    return f"list_reduce(list_transform(string_split({column}, ''), lambda c: {step('c')}), lambda h, x: xor({turn}, x))"
-
-
-@query(f"""with {_kmers_sql(27, ITEMS_SQL)}, h as (select seq_no, pos, {_hash_sql(27, "kmer")} as fw, {_hash_sql(27, "reverse(translate(kmer, 'ACGT', 'TGCA'))")} as rc from k)
-select seq_no, pos, fw::varchar as fw, rc::varchar as rc, least(fw, rc)::varchar as h from h""")
-def cyclic_hashes(spark, sf_dir):
-    return hashed_kmers(reads(spark, sf_dir), 27).select("seq_no", "pos", *[unsigned_text(F.col(c)).alias(c) for c in ("fw", "rc", "h")])
-
-
-@query(f"""with {_kmers_sql(27, ITEMS_SQL)} select seq_no, pos, {_hash_sql(27, "kmer")}::varchar as fw from k""")
-def cyclic_hash_expression(spark, sf_dir):
-    return kmers(reads(spark, sf_dir), 27).select("seq_no", "pos", unsigned_text(hash_expression(F.col("kmer"), 27)).alias("fw"))
-
-
-# --- counts and filters
-
-
-_RUNNING = f"{_kmers_sql(K)}, c as (select *, row_number() over (partition by kmer order by seq_no, pos) as n from k)"
-
-
-@query(f"with {_RUNNING} select seq_no, count(*)::bigint as n_kmers, max(n)::bigint as most, count(*) filter (n = 1)::bigint as n_new from c group by seq_no")
-def running_counts(spark, sf_dir):
-    rows = filters.running_counts(kmers(reads(spark, sf_dir), K))
-    return rows.groupBy("seq_no").agg(F.count("*").alias("n_kmers"), F.max("count").cast("long").alias("most"), F.count_if(F.col("count") == 1).alias("n_new"))
-
-
-@query(f"""with {_RUNNING}, s as (select seq_no, count(*)::bigint as n_kmers, count(*) filter (n < 2)::bigint as n_low from c group by seq_no)
-select *, not (n_low / n_kmers >= 1 - 0.75) as passed from s""")
-def solid_filter(spark, sf_dir):
-    return filters.solid_reads(kmers(reads(spark, sf_dir), K), 2, 0.75)
-
-
-_COUNTED = f"{_kmers_sql(K)}, s as (select kmer, count(*) as n from k group by kmer), c as (select k.seq_no, pos, n from k join s using (kmer))"
-
-
-@query(f"with {_COUNTED} select seq_no, count(*) filter (n >= 2) >= floor(0.5 + count(*) / 2) as passed from c group by seq_no")
-def median_at_least(spark, sf_dir):
-    k = kmers(reads(spark, sf_dir), K)
-    return filters.median_at_least(k, stores.exact_counts(k, "kmer"), 2)
-
-
-@query(f"""with {_COUNTED}, m as (select seq_no, list_sort(list(n))[count(*) // 2 + 1]::bigint as median from c group by seq_no)
-select seq_no, median, median > 1 and median <= 5 as passed from m""")
-def median_in_range(spark, sf_dir):
-    k = kmers(reads(spark, sf_dir), K)
-    return filters.median_in_range(k, stores.exact_counts(k, "kmer"), 1, 5)
-
-
-def _segments_sql(source: str, flag: str) -> str:
-    return f"""with {source}, f as (select seq_no, pos, pos - row_number() over (partition by seq_no order by pos) as g from c where {flag})
-    select seq_no, min(pos)::bigint as start, (max(pos) + 1)::bigint as "end" from f group by seq_no, g"""
-
-
-@query(_segments_sql(_COUNTED, "n >= 2"))
-def solid_segments(spark, sf_dir):
-    k = kmers(reads(spark, sf_dir), K)
-    return filters.solid_segments(k, stores.exact_counts(k, "kmer"), 2).select("seq_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-
-
-@query(_segments_sql(_RUNNING, "n = 1"))
-def new_segments(spark, sf_dir):
-    out = filters.new_segments(kmers(reads(spark, sf_dir), K))
-    return out.select("seq_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-
-
-@query()
-def digital_normalisation(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_no"), "source")
-    return filters.digital_normalisation(kmers(reads(spark, sf_dir), K).join(docs, "seq_no"), 2, sample="source")
-
-
-# --- stores
-
-SIZES = stores.table_sizes(1_000_000, 4)
-_HASHED = f"""{_kmers_sql(K)}, h as (select ('0x' || substr(md5(kmer), 1, 15))::bigint as h from k)"""
-_TABLES = " union all ".join(f"select {i} as tab, h, h % {p} as bin from d" for i, p in enumerate(SIZES))
-
-
-def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers(reads(spark, sf_dir), K).select(sketch.portable_hash(F.col("kmer")).alias("h"))
-
-
-@query(f"""with {_HASHED}, o as (select count(distinct h % {SIZES[0]})::bigint as n from h) select n as n_occupied, round(pow(n / {SIZES[0]}, 4), 9) as estimated_fp from o""")
-def bloom_occupancy(spark, sf_dir):
-    return stores.occupancy(stores.bloom(_hashed(spark, sf_dir), SIZES), SIZES).select("n_occupied", F.round("estimated_fp", 9).alias("estimated_fp"))
-
-
-def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers(_items(spark, sf_dir), K).select(sketch.portable_hash(F.col("kmer")).alias("h"))
-
-
-_PROBES = f"p as (select distinct ('0x' || substr(md5(substr(sequence, i, {K})), 1, 15))::bigint as h from (select sequence, unnest(range(1, length(sequence) - {K - 2})) as i from ({ITEMS_SQL}) where length(sequence) >= {K}))"
-_PROBED = " union all ".join(f"select {i} as tab, h, h % {p} as bin from p" for i, p in enumerate(SIZES))
-
-
-@query(f"""with {_HASHED}, d as (select distinct h from h), b as (select distinct tab, bin from ({_TABLES})), {_PROBES}, q as ({_PROBED})
-select h, (count(b.bin) = 4)::int as count from q left join b on q.tab = b.tab and q.bin = b.bin group by h""")
-def bloom_query(spark, sf_dir):
-    return stores.bloom_query(stores.bloom(_hashed(spark, sf_dir), SIZES), _probes(spark, sf_dir), SIZES)
-
-
-def _cms_sql(cap: int) -> str:
-    tables = " union all ".join(f"select {i} as tab, h % {p} as bin, n from d" for i, p in enumerate(SIZES))
-    return f"""with {_HASHED}, d as (select h, count(*) as n from h group by h), b as (select tab, bin, least(sum(n), {cap})::int as n from ({tables}) group by tab, bin), {_PROBES}, q as ({_PROBED})
-    select h, min(coalesce(n, 0))::int as count from q left join b on q.tab = b.tab and q.bin = b.bin group by h"""
-
-
-@query(_cms_sql(255))
-def count_min_bytes(spark, sf_dir):
-    return stores.count_min_query(stores.count_min(_hashed(spark, sf_dir), SIZES), _probes(spark, sf_dir), SIZES)
-
-
-@query(_cms_sql(15))
-def count_min_nibbles(spark, sf_dir):
-    return stores.count_min_query(stores.count_min(_hashed(spark, sf_dir), SIZES, 15), _probes(spark, sf_dir), SIZES)
-
-
-@query(f"""with {_HASHED}, s as (select h & {(1 << 24) - 1} as slot, count(*)::bigint as n from h group by 1) select n as count, count(*)::bigint as n_slots from s group by n""")
-def quotient_filter(spark, sf_dir):
-    return stores.quotient_counts(_hashed(spark, sf_dir), 16).groupBy("count").agg(F.count("*").alias("n_slots"))
-
-
-@query()
-def hll_unique(spark, sf_dir):
-    return stores.n_unique_estimate(_hashed(spark, sf_dir))
-
-
-# --- sketches
-
-
-@query(f"with {_HASHED} select h, count(*)::bigint as abundance from h group by h order by h limit 1000")
-def minhash_bottom(spark, sf_dir):
-    return sketch.bottom(_hashed(spark, sf_dir), 1000)
-
-
-_DOC_HASHES = f"{_kmers_sql(K)}, h as (select distinct seq_no, ('0x' || substr(md5(kmer), 1, 15))::bigint as h from k), s as (select * from h where h <= {(1 << 64) // 2000})"
-
-
-@query(f"""with {_DOC_HASHES}, n as (select seq_no, count(*)::bigint as n from s group by seq_no),
-c as (select a.seq_no as a, b.seq_no as b, count(*)::bigint as common from s a join s b on a.h = b.h and a.seq_no < b.seq_no group by 1, 2)
-select a, b, common, x.n as n_a, y.n as n_b, round(common / (x.n + y.n - common), 9) as jaccard from c join n x on x.seq_no = a join n y on y.seq_no = b""")
-def minhash_similarity(spark, sf_dir):
-    rows = kmers(reads(spark, sf_dir), K).select("seq_no", sketch.portable_hash(F.col("kmer")).alias("h"))
-    return sketch.similarity(sketch.scaled(rows, 2000, "seq_no"), "seq_no").withColumn("jaccard", F.round("jaccard", 9))
-
-
-@query()
-def saturation_curve(spark, sf_dir):
-    rows = windows.floor_ticks(reads(spark, sf_dir).withColumn("n", F.length("sequence")), "seq_no", "n", 200_000)
-    hashes = kmers(rows.select("seq_no", "tick", "sequence"), K, ("tick",)).select("tick", sketch.portable_hash(F.col("kmer")).alias("h"))
-    return sketch.prefix_similarities(hashes, "tick", 500)
-
-
-# --- ordered analytics
-
-_FRAME = "over (partition by event_type order by event_id rows between 4 preceding and current row)"
-
-
-@query(f"""select event_id, case when n = 5 then round(mean, 6) end as mean, case when n = 5 then round(dev, 6) end as stddev, case when n = 5 then round(med, 6) end as median,
-  case when n = 5 then round(mean / (t1 - t0), 9) end as normalized from (select event_id, count(value) {_FRAME} as n, avg(value) {_FRAME} as mean,
-  stddev_pop(value) {_FRAME} as dev, median(value) {_FRAME} as med, last_value(event_id) {_FRAME} as t1, first_value(event_id) {_FRAME} as t0 from events)""")
-def sliding_statistics(spark, sf_dir):
-    df, by = _table(spark, sf_dir, "events"), ("event_type",)
-    stat = lambda f, name, d=6: F.round(windows.sliding(df, "value", "event_id", 5, f, by), d).alias(name)
-    return df.select("event_id", stat("mean", "mean"), stat("stddev", "stddev"), stat("median", "median"), stat("normalized_mean", "normalized", 9))
-
-
-@query("""with w as (select event_id, min(struct_pack(v := value, i := event_id)) over (partition by event_type order by event_id rows between 7 preceding and current row) as m,
-  row_number() over (partition by event_type order by event_id) as n from events) select event_id, m.v as min_value, m.i as min_at from w where n >= 8""")
-def interior_minimizers(spark, sf_dir):
-    return windows.interior_minimizers(_table(spark, sf_dir, "events"), "value", "event_id", 8, ("event_type",)).select("event_id", "min_value", "min_at")
-
-
-@query("select event_id, round(value - lag(value) over (partition by user_id order by event_id), 9) as change from events")
-def pairwise_change(spark, sf_dir):
-    df = _table(spark, sf_dir, "events")
-    return df.select("event_id", F.round(windows.pairwise(df, "value", "event_id", lambda x, y: y - x, ("user_id",)), 9).alias("change"))
-
-
-@query(f"""with recursive r as ({READS_SQL}), d as (select lang, seq_no, length(sequence) as n, row_number() over (partition by lang order by seq_no) as i from r join documents on seq_no = doc_id),
-s as (select lang, i, seq_no, n as t, case when n >= 50000 then 0 else n end as held, (n >= 50000)::int as tick, n >= 50000 as hit from d where i = 1
-union all select d.lang, d.i, d.seq_no, s.t + d.n, case when s.held + d.n >= 50000 then 0 else s.held + d.n end, s.tick + (s.held + d.n >= 50000)::int, s.held + d.n >= 50000
-from s join d on d.lang = s.lang and d.i = s.i + 1)
-select lang, seq_no, tick::bigint as tick, t::bigint as t from s where hit""")
-def interval_ticks(spark, sf_dir):
-    lang = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_no"), "lang")
-    rows = reads(spark, sf_dir).select("seq_no", F.length("sequence").cast("long").alias("n")).join(lang, "seq_no")
-    return windows.interval_ticks(rows, "seq_no", "n", 50_000, "lang")
-
-
-# --- graphs
-
-
-@query(f"""with {_kmers_sql(13)}, n as (select distinct kmer from k), le as (select substr(kmer, 2) as o, count(*) as d from n group by 1), ri as (select substr(kmer, 1, 12) as o, count(*) as d from n group by 1),
-g as (select coalesce(le.d, 0)::bigint as left_degree, coalesce(ri.d, 0)::bigint as right_degree from n left join le on le.o = substr(kmer, 1, 12) left join ri on ri.o = substr(kmer, 2))
-select left_degree, right_degree, count(*)::bigint as n from g group by 1, 2""")
-def graph_degrees(spark, sf_dir):
-    node = graph.nodes(kmers(reads(spark, sf_dir), 13))
-    return graph.degrees(node).groupBy("left_degree", "right_degree").agg(F.count("*").alias("n"))
-
-
-GRAPH_K = 15
-_NODES = f"{_kmers_sql(GRAPH_K, ITEMS_SQL)}, n as (select distinct kmer from k), e as (select a.kmer as src, b.kmer as dst from n a join n b on substr(a.kmer, 2) = substr(b.kmer, 1, {GRAPH_K - 1}))"
-
-
-def _graph(spark: SparkSession, sf_dir: str) -> graph.Compacted:
-    return graph.Compacted(graph.nodes(kmers(reads(spark, sf_dir), GRAPH_K)), GRAPH_K)
-
-
-@query(f"with {_NODES} select src, dst from e")
-def graph_edges(spark, sf_dir):
-    return graph.edges(graph.nodes(kmers(reads(spark, sf_dir), GRAPH_K)))
-
-
-_PLAIN = f"""{_NODES}, d as (select kmer from n where (select count(*) from e where src = kmer) > 1 or (select count(*) from e where dst = kmer) > 1),
-p as (select src, dst from e where src not in (select kmer from d) and dst not in (select kmer from d)),
-h as (select kmer from n where kmer not in (select kmer from d) and kmer not in (select dst from p)),
-w as (select kmer as head, kmer as tip, kmer as sequence from h union all select head, dst, sequence || substr(dst, {GRAPH_K}) from w join p on src = tip),
-u as (select head, max(length(sequence)) as n from w group by head)"""
-
-
-@query(f"with recursive {_PLAIN} select sequence from w join u on w.head = u.head and length(sequence) = n")
-def graph_unitigs(spark, sf_dir):
-    # cycles too, opened at their least k-mer; the registered SQL starts at heads of chains and lists none
-    return _graph(spark, sf_dir).unitigs.select("sequence")
-
-
-@query()
-def graph_unitig_kinds(spark, sf_dir):
-    return _graph(spark, sf_dir).metrics()
-
-
-@query(f"with {_NODES} select count(*)::bigint as n_nodes, count(*)::bigint as n_in_graph from n")
-def graph_validation(spark, sf_dir):
-    return _graph(spark, sf_dir).validate()
-
-
-@query()
-def graph_components(spark, sf_dir):
-    return _graph(spark, sf_dir).components().groupBy("component").agg(F.count("*").alias("size"))
-
-
-# --- minimizer partitions
-
-
-@query(f"""with {_kmers_sql(7, ITEMS_SQL)}, f as (select kmer, min(seq_no * 1000000 + pos) as o from k where kmer like 'A%' group by kmer),
-u as (select kmer, row_number() over (order by o) - 1 as p from f), m as (select k.seq_no, k.pos, k.kmer, u.p from k left join u using (kmer)),
-w as (select seq_no, pos, min(case when p is not null then struct_pack(kmer := kmer, p := p) end) over (partition by seq_no order by pos rows between current row and 13 following) as m,
-  count(*) over (partition by seq_no order by pos rows between current row and 13 following) as n from m),
-x as (select seq_no, pos, m.p as q from w where n = 14 and m is not null), y as (select *, lead(pos) over (partition by seq_no order by pos) as np, lead(q) over (partition by seq_no order by pos) as nq from x)
-select seq_no, pos::bigint as pos, q::bigint as left_partition, nq::bigint as right_partition from y where np = pos + 1 and nq <> q""")
-def partition_tags(spark, sf_dir):
-    k = kmers(reads(spark, sf_dir), 7)
-    hits = tags.hitting_set(k.where("kmer like 'A%'").withColumn("ord", F.struct("seq_no", "pos")))
-    out = tags.tags(tags.window_minimizers(k, hits, 20, 7))
-    return out.withColumn("pos", F.col("pos").cast("long"))
-
-
-_TAGS_SQL = ORACLE_SQL["partition_tags"]
-
-
-@query(f"with t as ({_TAGS_SQL}) select left_partition, right_partition, count(distinct seq_no)::bigint as n_reads, count(*)::bigint as n from t group by 1, 2")
-def partition_tag_links(spark, sf_dir):
-    return tags.tag_links(partition_tags(spark, sf_dir))
-
-
-# --- distances
-
-_VECTOR_SQL = {
-    "cosine": "1 - list_sum(list_transform(z, lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(z, lambda p: p[1] * p[1]))) * sqrt(list_sum(list_transform(z, lambda p: p[2] * p[2]))))",
-    "euclidean": "sqrt(list_sum(list_transform(z, lambda p: (p[1] - p[2]) * (p[1] - p[2]))))",
-    "cityblock": "list_sum(list_transform(z, lambda p: abs(p[1] - p[2])))",
-    "chebyshev": "list_max(list_transform(z, lambda p: abs(p[1] - p[2])))",
-    "canberra": "list_sum(list_transform(z, lambda p: case when abs(p[1]) + abs(p[2]) = 0 then 0 else abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) end))",
-    "braycurtis": "list_sum(list_transform(z, lambda p: abs(p[1] - p[2]))) / list_sum(list_transform(z, lambda p: abs(p[1] + p[2])))",
-}
-
-
-@query(f"""with v as (select vec_id, embedding::double[] as a from embeddings), f as (select a as b from v order by vec_id limit 1),
-z as (select vec_id, list_transform(range(1, len(a) + 1), lambda i: [a[i], b[i]]) as z from v, f)
-select vec_id, {", ".join(f"round({sql}, 5) + 0.0 as {name}" for name, sql in _VECTOR_SQL.items())} from z""")
-def vector_distances(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("b"))
-    d: Callable[[str], Column] = lambda m: (F.round(distances.distance(F.col("embedding"), F.col("b"), m), 5) + F.lit(0.0)).alias(m)
-    return v.join(F.broadcast(first)).select("vec_id", *map(d, _VECTOR_SQL))
-
-
-# --- stores on disk, samples, residues
-
-
-@query(f"""with {_HASHED}, s as (select h, count(*)::bigint as count from h group by h), {_PROBES} select p.h, coalesce(count, 0) as count from p left join s on s.h = p.h""")
-def store_round_trip(spark, sf_dir):
-    hashes = _hashed(spark, sf_dir).withColumn("half", F.col("h") % 2 == 0)
-    shape, path = stores.Shape(k=K), shared_path(spark, "store")
-    even, odd = (stores.Store.build(hashes.where(w), shape) for w in ("half", "not half"))
-    even.union(odd).save(path)
-    return stores.Store.load(spark, path).query(_probes(spark, sf_dir))
-
-
-@query("""select doc_id, n_chars from documents order by ('0x' || substr(md5(doc_id || ':42'), 1, 15))::bigint, doc_id limit 50""")
-def reservoir_sample(spark, sf_dir):
-    return sketch.reservoir(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 50, "doc_id")
-
-
-@query(f"""with {_HASHED}, m as (select distinct h from h order by h limit 500), n as (select h, count(*)::bigint as n from h group by h) select m.h, n as abundance from m join n on n.h = m.h""")
-def counting_minhash(spark, sf_dir):
-    hashes = _hashed(spark, sf_dir)
-    return sketch.counted(sketch.bottom(hashes, 500).select("h"), stores.exact_counts(hashes))
-
-
-_CODE = "strpos('TCAG', substr(c, 1, 1)) * 16 + strpos('TCAG', substr(c, 2, 1)) * 4 + strpos('TCAG', substr(c, 3, 1)) - 20"
-
-
-@query(f"""with c as (select seq_no, list_transform(range(0, length(sequence) // 3), lambda i: substr(sequence, (3 * i + 1)::int, 3)) as cs from ({ITEMS_SQL})),
-r as (select seq_no, array_to_string(list_transform(cs, lambda c: substr('{protein.RESIDUES}', ({_CODE})::int, 1)), '') as residues from c)
-select seq_no, coalesce(residues, '') as residues, translate(coalesce(residues, ''), 'CAGPSTDENQHKRILMVFWY', 'abbbbbccccdddeeeefff') as dayhoff from r""")
-def codon_translation(spark, sf_dir):
-    residues = protein.translate_sequence(F.col("sequence"))
-    return reads(spark, sf_dir).select("seq_no", residues.alias("residues"), protein.dayhoff(residues).alias("dayhoff"))
-
-
-@query("""with v as (select vec_id, embedding::double[] as a from embeddings), w as (select vec_id, a, lag(a, 1) over (order by vec_id) as b2, lag(a, 3) over (order by vec_id) as b4 from v),
-u as (select vec_id, 2 as freq, a, b2 as b from w union all select vec_id, 4, a, b4 from w)
-select vec_id, freq, 'euclidean' as metric, round(list_distance(a, b), 5) as distance from u where b is not null""")
-def rolling_signature_distances(spark, sf_dir):
-    out = distances.rolling_distances(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", (2, 4), ("euclidean",))
-    return out.withColumn("distance", F.round("distance", 5))
-
-
-QUERIES |= io_queries.QUERIES
-ORACLE_SQL |= io_queries.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -7,13 +7,14 @@ files are one task each.  Reads keep their place in the file as ``seq_no``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.alphabet import ALPHABETS
-from strandlake.tables import stored
+from strandlake.tables import ship_package, stored
 
 _BLOCK = ["__path", "__block"]
 _FASTQ = (".fq", ".fastq")
@@ -64,16 +65,72 @@ def _fastq(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("__path", "seq_no", *_names(header), F.col("l1").alias("sequence"), F.col("l3").alias("quality"), F.coalesce(framed, F.lit(False)).alias("framed"))
 
 
+def _wrapped_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines in order, a file after the other: a sequence runs to the line that starts with +, a quality as long as the sequence."""
+    rows, state = [], None
+
+    def close() -> None:
+        path, n, head, seq, qual, _ = state
+        s, q = "".join(seq), "".join(qual)
+        rows.append((path, n, head, s, q, head.startswith("@") and len(q) == len(s)))
+
+    def out() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["__path", "seq_no", "head", "sequence", "quality", "framed"])
+
+    for batch in batches:
+        for path, value in zip(batch.column("__path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if state is not None and state[0] != path:
+                close()
+                state, n = None, 0
+            elif state is None:
+                n = 0
+            if state is None:
+                if value:
+                    state = [path, n, value, [], [], False]
+                continue
+            size = sum(map(len, state[3]))
+            if state[5] and (sum(map(len, state[4])) >= size) and (value.startswith("@") or not value):
+                n = state[1] + 1
+                close()
+                state = [path, n, value, [], [], False] if value else None
+                if state is None:
+                    state = [path, n, "", [], [], False]
+            elif state[2] == "":
+                state[2] = value
+            elif not state[5] and value.startswith("+"):
+                state[5] = True
+            else:
+                state[4 if state[5] else 3].append(value)
+        if rows:
+            yield out()
+            rows.clear()
+    if state is not None and state[2]:
+        close()
+    if rows:
+        yield out()
+
+
+def _wrapped_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """FASTQ whose sequences and qualities take several lines: where a record ends depends on what came before, so a file is one ordered task."""
+    ship_package(spark.range(0))
+    lines = _numbered(spark.read.text(path), "fastq").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    rows = lines.repartition("__path").sortWithinPartitions("__path", "__n").select("__path", "value")
+    rows = rows.mapInArrow(_wrapped_records, "__path string, seq_no long, head string, sequence string, quality string, framed boolean")
+    return rows.select("__path", "seq_no", *_names(F.substr("head", F.lit(2))), "sequence", "quality", "framed")
+
+
 def scan_fastx(spark: SparkSession, path: str, alphabet: str = "DNA", min_length: int = 0, sample: str | None = None, kind: str | None = None) -> DataFrame:
     """Every record of a file or folder: sample, seq_no, name, comment, sequence, quality, status.
 
     status: ``ok``, ``short`` (below min_length), ``symbol`` (not of the alphabet)
     or ``format`` (a FASTQ record out of frame, or with a quality of other length).
-    FASTQ records have four lines.  An empty file has no records.  kind: ``fasta``
-    or ``fastq``; by default the path's suffix decides.
+    FASTQ records have four lines; those of ``wrapped`` ones have more, and such a
+    file is not split.  An empty file has no records.  kind: ``fasta``, ``fastq``
+    or ``wrapped``; by default the path's suffix decides between the first two.
     """
     kind = kind or ("fastq" if is_fastq(path) else "fasta")
-    rows = {"fasta": _fasta, "fastq": _fastq}[kind](spark, path)
+    rows = {"fasta": _fasta, "fastq": _fastq, "wrapped": _wrapped_fastq}[kind](spark, path)
     letters = ALPHABETS[alphabet]
     status = (
         F.when(~F.col("framed"), "format").when(~letters.is_valid(F.col("sequence")), "symbol").when(F.length("sequence") < min_length, "short").otherwise("ok")
@@ -167,10 +224,19 @@ _MATE = ("name", "comment", "sequence", "quality")
 def paired(left: DataFrame, right: DataFrame, strict: bool = False, force_name_match: bool = False) -> DataFrame:
     """(sample, seq_no, left, right) of reads at the same place of two files; ``left`` or ``right`` is null where that read was skipped.
 
-    force_name_match drops pairs whose names do not match, or raises with ``strict``.
+    A file that ends before the other is an error: the last places of both must
+    agree (``left`` and ``right`` are scans with ``status``, or valid reads, whose
+    last ones then count).  force_name_match drops pairs whose names do not match, or raises with ``strict``.
     """
-    side = lambda df, name: df.select("sample", "seq_no", F.struct(*_MATE).alias(name))
+    ok = lambda df: df.where("status = 'ok'") if "status" in df.columns else df
+    side = lambda df, name: ok(df).select("sample", "seq_no", F.struct(*_MATE).alias(name))
     rows = side(left, "left").join(side(right, "right"), ["sample", "seq_no"], "full")
+    if "status" in left.columns and "status" in right.columns:
+        last = lambda df, name: df.groupBy("sample").agg(F.max("seq_no").alias(name))
+        ends = last(left, "__l").join(last(right, "__r"), "sample", "full")
+        uneven = ~F.col("__l").eqNullSafe(F.col("__r"))
+        ends = ends.select("sample", F.when(uneven, F.raise_error(F.lit("one mate file ends before the other")).cast("boolean")).otherwise(F.lit(True)).alias("__even"))
+        rows = rows.join(F.broadcast(ends), "sample", "left").where(F.coalesce("__even", F.lit(True))).drop("__even")  # one row a sample
     if force_name_match:
         match = F.coalesce(is_pair(F.col("left.name"), F.col("left.comment"), F.col("right.name"), F.col("right.comment")), F.lit(False))
         whole = F.col("left").isNotNull() & F.col("right").isNotNull()

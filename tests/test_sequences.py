@@ -1,6 +1,7 @@
 """Sequence operators against pinned vectors and brute force."""
 
-import inspect
+import functools
+import operator
 import random
 
 import numpy as np
@@ -67,6 +68,7 @@ def test_alphabets_of_whole_texts(spark, tmp_path):
     assert [r.dna for r in rows] == valid("ACGT")
     assert [r.dnan for r in rows] == valid("ACGTN")
     assert [r.iupac for r in rows] == valid("ATUGCYRSWKMBDHVN")
+    assert [r["any"] for r in rows] == [t is not None for t in texts]
     assert [r.complement for r in rows] == [None if t is None else t.translate(swap) for t in upper]
 
 
@@ -150,7 +152,7 @@ def test_compaction(spark):
     assert {r.sequence for r in rows if r.meta != "CIRCULAR"} == unitigs
     rings = [r for r in rows if r.meta == "CIRCULAR"]
     assert len(rings) == 1 and {rings[0].sequence[i : i + 11] for i in range(rings[0].length - 10)} == circular
-    assert tuple(made.validate().first()) == (len(nodes), len(nodes))
+    assert tuple(made.validate().first()) == (len(nodes), len(nodes), 0, 0, 0)
     assert made.components().select("component").distinct().count() == 2
 
 
@@ -164,16 +166,21 @@ def test_sequence_queries_read_the_documents(spark, tmp_path):
     seqs = {i: t.replace(" ", "").translate(str.maketrans("abcd", "ACGT")) for i, t in enumerate(texts) if t is not None}
     kms = lambda k: [(i, p, s[p : p + k]) for i, s in seqs.items() for p in range(len(s) - k + 1)]
 
-    hashes = [(i, p, *kmer_hash(x)) for i, p, x in kms(27)]
-    assert sorted(map(tuple, run("cyclic_hashes"))) == sorted((i, p, str(f), str(r), str(min(f, r))) for i, p, f, r in hashes)
-    assert sorted(map(tuple, run("cyclic_hash_expression"))) == sorted((i, p, str(f)) for i, p, f, _ in hashes)
+    xor = lambda xs: str(functools.reduce(operator.xor, xs))
+    per_read = {}
+    for i, _, x in kms(27):
+        per_read.setdefault(i, []).append(kmer_hash(x))
+    got = {r.seq_no: (r.n, r.least_fw, r.most_rc, r.least_h, r.all_fw, r.all_rc, r.all_h, r.n_forward) for r in run("cyclic_hashes")}
+    assert got == {i: (len(h), str(min(f for f, _ in h)), str(max(r for _, r in h)), str(min(map(min, h))), xor(f for f, _ in h), xor(r for _, r in h), xor(map(min, h)), sum(f < r for f, r in h)) for i, h in per_read.items()}
+    assert {tuple(r) for r in run("cyclic_hash_expression")} == {(i, len(h), xor(f for f, _ in h)) for i, h in per_read.items()}
 
     nodes, decisions, unitigs, circular = brute_graph(list(seqs.values()), 15)
     assert decisions and not circular
     edges = {(n, n[1:] + c) for n in nodes for c in "ACGT" if n[1:] + c in nodes}
-    assert {tuple(r) for r in run("graph_edges")} == edges
+    pairs = sorted(edges)
+    assert tuple(run("graph_edges")[0]) == (len(edges), len({a for a, _ in edges}), len({b for _, b in edges}), "".join(pairs[0]), "".join(pairs[-1]))
     assert sorted(r.sequence for r in run("graph_unitigs")) == sorted(unitigs)
-    assert tuple(run("graph_validation")[0]) == (len(nodes), len(nodes))
+    assert tuple(run("graph_validation")[0]) == (len(nodes), len(nodes), 0, 0, 0)
     kinds = {r.meta: r.n for r in run("graph_unitig_kinds")}
     assert kinds.pop("DECISION") == len(decisions) and sum(kinds.values()) == len(unitigs)
     group = {n: n for n in nodes}
@@ -227,28 +234,6 @@ def test_unitigs_hold_cycles(spark, tmp_path):
     assert len(want) == 5 and got == sorted(want)
 
 
-def test_walks(spark):
-    node = graph.nodes(kmers(frame(spark, ["AACCGGTATTC", "CCGGTCC"]), 5))
-    seeds = spark.createDataFrame([("AACCG",), ("TTTTT",)], "kmer string")
-    got = {r.seed: (graph_path(r.path), r.end_state) for r in graph.walk(node, seeds).collect()}
-    assert got == {"AACCG": ("AACCGGT", "DECISION_FWD"), "TTTTT": ("TTTTT", "BAD_SEED")}
-    mask = spark.createDataFrame([("CGGTC",)], "kmer string")
-    got = {r.seed: (graph_path(r.path), r.end_state) for r in graph.walk(node, seeds, mask=mask).collect()}
-    assert got["AACCG"] == ("AACCGGTATTC", "STOP_FWD")
-
-
-def test_walks_that_are_cut_short_are_told(spark):
-    node = graph.nodes(kmers(frame(spark, ["AACCGGTATTC"]), 5))
-    seeds = spark.createDataFrame([("AACCG",), ("GTATT",)], "kmer string")
-    got = {r.seed: (graph_path(r.path), r.end_state) for r in graph.walk(node, seeds, most=3).collect()}
-    assert got == {"AACCG": ("AACCGGTA", "UNFINISHED"), "GTATT": ("GTATTC", "STOP_FWD")}
-    assert inspect.signature(graph.walk).parameters["most"].default is None
-
-
-def graph_path(path):
-    return path[0] + "".join(p[-1] for p in path[1:])
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
