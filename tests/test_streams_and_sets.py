@@ -13,7 +13,7 @@ from strandlake.kmers import kmers, packed_kmers
 from strandlake.operators import filters, graph, hitting, saturation, sketch, stores, tags, windows
 from strandlake.sources import fastx
 from strandlake.streaming import messages, runner
-from tests.test_graphs import Plain, frame, tangle
+from test_graphs import Plain, frame, tangle
 
 
 @pytest.mark.parametrize("k", [2, 3, 4, 5, 6])
@@ -244,7 +244,7 @@ def test_commands_with_reports(spark, tmp_path):
     assert spark.read.text(f"{url}/sig").count() == 1 and spark.read.text(f"{url}/s/a").count() > 1
     run("sketch", "draff", "-K", "7", "-W", "15", "--distance-output", f"{url}/dd", "-o", f"{url}/draff")
     assert spark.read.json(f"{url}/draff").first()["size"] == hitting.n_rotation_classes(7)
-    run("graph", "build", "-K", "11", "--canonical", "--normalize", "5", "--validate", f"{url}/v", "--track-metrics", f"{url}/m", "--track-components", f"{url}/mc", "--track-unitig-bp", f"{url}/mb", "--tick", "6", "-o", f"{url}/g")
+    run("graph", "build", "-K", "11", "--canonical", "--normalize", "5", "--validate", f"{url}/v", "--track-metrics", f"{url}/m", "--track-components", f"{url}/mc", "--track-unitig-bp", f"{url}/mb", "--tick", "2", "-o", f"{url}/g")
     assert spark.read.json(f"{url}/v").first().n_missing == 0 and spark.read.json(f"{url}/m").count() >= 2
     run("filter", "diginorm", "-K", "11", "-C", "3", "--metrics", f"{url}/f", "-o", f"{url}/norm")
     assert 0 < spark.read.json(f"{url}/f/a").agg(F.max("p_seqs_passed")).first()[0] <= 1
