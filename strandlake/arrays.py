@@ -32,20 +32,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-def slices(data: np.ndarray, at: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row of each piece, its place in the row) of pieces of at most SLICE bytes a time.
+def slices(data: np.ndarray, at: np.ndarray, overlap: int, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row of each piece, its place in the row) of pieces of at most ``most`` bytes a time.
 
     Rows that are longer are cut into pieces that share ``overlap`` bytes.
     """
     first, n = 0, len(at) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
         lo, hi = int(at[first]), int(at[last])
-        if hi - lo <= SLICE or last > first + 1:
+        if hi - lo <= most or last > first + 1:
             yield data[lo:hi], at[first : last + 1] - lo, np.arange(first, last), np.zeros(last - first, np.int64)
         else:
-            for begin in range(lo, max(hi - overlap, lo + 1), SLICE):
-                own = data[begin : min(begin + SLICE + overlap, hi)]
+            for begin in range(lo, max(hi - overlap, lo + 1), most):
+                own = data[begin : min(begin + most + overlap, hi)]
                 yield own, np.array([0, len(own)]), np.array([first]), np.array([begin - lo])
         first = last
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake import arrays
 from strandlake.kmers import kmer_key, kmer_text, kmers, packed_kmers, reverse_key
 from strandlake.operators import chains, graph
 
@@ -186,10 +188,17 @@ def test_packed_forms(spark, k):
         assert (r.back, r.rc) == (r.t, rc(r.t))
 
 
-def test_packed_kmers_leave_other_symbols_out(spark, monkeypatch):
-    from strandlake import arrays
+def test_slices_hold_every_window_once():
+    rows = ["".join(random.Random(n).choices("ACGT", k=n)) for n in (30, 0, 200, 5, 7, 49, 50, 51, 99)]
+    data, at = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *map(len, rows)])
+    got = []
+    for own, places, piece, offset in arrays.slices(data, at, 6, 50):
+        start, row = arrays.window_starts(places, 7)
+        got += [(piece[r], s - places[r] + offset[r], own[s : s + 7].tobytes().decode()) for s, r in zip(start, row)]
+    assert sorted(got) == [(n, i, s[i : i + 7]) for n, s in enumerate(rows) for i in range(len(s) - 6)]
 
-    monkeypatch.setattr(arrays, "SLICE", 50)
+
+def test_packed_kmers_leave_other_symbols_out(spark):
     sequences = ["ACGTNACGTA", "NN", "", None, "A" * 5, "".join(random.Random(1).choices("ACGTN", k=400, weights=[9, 9, 9, 9, 1]))]
     got = {(r.seq_no, r.pos): r.t for r in packed_kmers(frame(spark, sequences), 5).select("seq_no", "pos", kmer_text(F.col("kmer"), 5).alias("t")).collect()}
     assert got == {(n, i): s[i : i + 5] for n, s in enumerate(sequences) if s for i in range(len(s) - 4) if "N" not in s[i : i + 5]}
