@@ -7,7 +7,8 @@ nothing else has to.  Consecutive windows with one anchor travel as a segment.
 1. All texts: segments with their anchor and a content hash (no text travels).
 2. Equal segments are counted before anything moves on.  A segment that occurs
    twice repeats in every window.  Anchors under which segments differ are mixed:
-   one copy of each of their distinct segments is cut from the texts.
+   one copy of each of their distinct segments is cut from the texts, for very
+   frequent anchors in parts by two further anchors.
 3. A shard's segments are suffix-sorted by induction; permuted common prefixes
    tell which windows repeat, within a segment or between segments.
 4. Repeated windows return to their texts, whose covered bytes are removed.
@@ -32,8 +33,10 @@ GRAM = 32
 _PLACE_BITS = 28
 #: Bytes that are suffix-sorted at once; a shard takes several such arrays.
 ARRAY_BYTES = 2 << 20
-#: Distinct segments of one anchor from which its windows are dealt by their distance to the anchor too.
-HOT_SEGMENTS = 2000
+#: Distinct segments of one anchor from which its windows are dealt by two more anchors too.
+HOT_SEGMENTS = 500
+#: Bytes of a text that are looked at together; longer texts are taken in pieces that share all but one byte of a window.
+PIECE_BYTES = 4 << 20
 _SEPARATOR = 255  # in no UTF-8 text
 
 
@@ -59,30 +62,42 @@ class _Powers:
 
 _POWERS = _Powers()
 _GRAM_WEIGHTS = tk.hash_weights(8, 0x6124A)
+_PLACES = np.uint64((1 << _PLACE_BITS) - 1)
 
 
-def segments(data: np.ndarray, doc_at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of windows with one anchor: (doc, start in doc, windows, anchor key, content hash, anchor distance)."""
-    n = len(data)
-    empty = np.zeros(0, np.int64)
-    sizes = np.diff(doc_at)
-    valid_docs = np.flatnonzero(sizes >= length)
-    if len(valid_docs) == 0:
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all ``gram``-byte strings (a power of two)."""
     h = data.astype(np.uint64) + np.uint64(1)
     step, k = 1, 0
-    while step < gram:  # gram is a power of two
+    while step < gram:
         h = h[:-step] * _GRAM_WEIGHTS[k] + h[step:]
         step, k = step * 2, k + 1
-    h = tk.mix64(h)
-    low = (h >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
-    width = length - gram + 1
+    return tk.mix64(h)
+
+
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least (by its upper bits, then the first) of every ``width`` hashes in a row."""
+    low = (h & ~_PLACES) | np.arange(len(h), dtype=np.uint64)
     least, span = low, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    least = np.minimum(least[: len(low) - width + 1], least[width - span : width - span + len(low) - width + 1])
-    anchor = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    n = len(low) - width + 1
+    return (np.minimum(least[:n], least[width - span : width - span + n]) & _PLACES).astype(np.int64)
+
+
+def segments(data: np.ndarray, doc_at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Runs of windows with one anchor: (doc, start in doc, windows, anchor key, content hash, anchor distance)."""
+    n = len(data)
+    empty = np.zeros(0, np.int64)
+    sizes = np.diff(doc_at)
+    valid_docs = np.flatnonzero(sizes >= length)
+    if len(valid_docs) == 0:
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty
+    if n > int(_PLACES):
+        raise ValueError("too many bytes at once")
+    h = gram_hashes(data, gram)
+    anchor = least_places(h, length - gram + 1)
     windows = sizes[valid_docs] - length + 1
     at = tk.ranges(doc_at[:-1][valid_docs], windows)
     own = anchor[at]
@@ -100,54 +115,87 @@ def segments(data: np.ndarray, doc_at: np.ndarray, length: int = LENGTH, gram: i
     return doc, start - doc_at[doc], count, h[own[first]], content, own[first] - start
 
 
+def parts_of(segment: np.ndarray, distance: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, part) of the runs of a segment's windows that share two more anchors.
+
+    The anchors are the least grams under two other hashes, and where they stand
+    from the segment's own: equal windows agree in all of that.
+    """
+    h, width = gram_hashes(segment, gram), length - gram + 1
+    part = np.zeros(len(segment) - length + 1, np.uint64)
+    for seed in (np.uint64(0x0DD1), np.uint64(0x0DD2)):
+        at = least_places(tk.mix64(h ^ seed), width)
+        part = tk.mix64(part + h[at] + (at - distance).astype(np.uint64) * seed)
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    first = np.flatnonzero(new)
+    return first, part[first].view(np.int64)
+
+
+def _text_pieces(data: np.ndarray, at: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, first row, place in it) of pieces that together hold every window once."""
+    if len(data) <= most:
+        yield data, at, 0, 0
+        return
+    for row in range(len(at) - 1):  # a slice beyond the limit is one long text
+        own = data[at[row] : at[row + 1]]
+        for begin in range(0, max(len(own) - length + 1, 1), most):
+            piece = own[begin : begin + most + length - 1]
+            yield piece, np.array([0, len(piece)]), row, begin
+
+
 def _find_segments(length: int):
+    most = PIECE_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch):
-                data, at = tk.flat_bytes(part.column("text"))
-                doc, start, count, key, content, distance = segments(data, at, length)
-                rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        part.column("text_a").take(rows),
-                        part.column("text_b").take(rows),
-                        pa.array(start),
-                        pa.array(count.astype(np.int32)),
-                        pa.array(distance.astype(np.int32)),
-                    ],
-                    names=["key", "content", "text_a", "text_b", "start", "windows", "distance"],
-                )
+                for data, at, first_row, begin in _text_pieces(*tk.flat_bytes(part.column("text")), length, most):
+                    doc, start, count, key, content, distance = segments(data, at, length)
+                    rows = pa.array(doc + first_row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.view(np.int64)),
+                            pa.array(content.view(np.int64)),
+                            part.column("text_a").take(rows),
+                            part.column("text_b").take(rows),
+                            pa.array(start + begin),
+                            pa.array(count.astype(np.int32)),
+                            pa.array(distance.astype(np.int32)),
+                        ],
+                        names=["key", "content", "text_a", "text_b", "start", "windows", "distance"],
+                    )
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted parts of each text."""
-    for batch in batches:
-        data, at = tk.flat_bytes(batch.column("text"))
-        keys, contents, parts, skips, texts, size = [], [], [], [], [], 0
-        for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-            for w in wanted:
-                keys.append(w["key"])
-                contents.append(w["content"])
-                parts.append(w["part"])
-                skips.append(w["skip"])
-                texts.append(data[at[i] + w["at"] : at[i] + w["until"]].tobytes())
-                size += len(texts[-1])
-                if size > tk.SLICE_BYTES:
-                    yield _segment_batch(keys, contents, parts, skips, texts)
-                    keys, contents, parts, skips, texts, size = [], [], [], [], [], 0
-        if keys:
-            yield _segment_batch(keys, contents, parts, skips, texts)
-
-
-def _segment_batch(keys, contents, parts, skips, texts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(contents, pa.int64()), pa.array(skips, pa.int32()), pa.array(texts, pa.binary())],
-        names=["key", "part", "content", "skip", "bytes"],
-    )
+def _cut(length: int):
+    """Bytes of the wanted segments of each text; those of hot anchors in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = tk.flat_bytes(batch.column("text"))
+            rows, size = [], 0
+            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+                for w in wanted:
+                    begin, n = int(at[i]) + w["at"], w["windows"]
+                    own = data[begin : begin + n + length - 1]
+                    first, part = parts_of(own, w["distance"], length) if w["hot"] else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+                    for p, x, y in zip(part.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True):
+                        rows.append((w["key"], p, w["content"], x, own[x : y + length - 1].tobytes()))
+                        size += y - x + length - 1
+                    if size > tk.SLICE_BYTES:
+                        yield _segment_batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _segment_batch(rows)
+
+    return run
+
+
+def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "part", "content", "skip", "bytes"])
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +216,27 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     return text, place - at[text]
 
 
+def _shares(rows: list[tuple], length: int, most: int) -> Iterator[list[tuple]]:
+    """A large group's windows dealt by their content into shares of about ``most`` bytes, as rows of one window or few."""
+    found = []
+    for k, r in enumerate(rows):
+        own = np.frombuffer(r[3], np.uint8)
+        up, down = _POWERS.upto(len(own) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)])))
+        n = len(own) - length + 1
+        found.append((np.full(n, k), np.arange(n), tk.mix64((sums[length:] - sums[:-length]) * down[:n])))
+    row, place, share = (np.concatenate(x) for x in zip(*found, strict=True))
+    share %= np.uint64(max(1, len(share) * length // most))
+    order = np.argsort(share, kind="stable")
+    row, place, share = row[order], place[order], share[order]
+    for own in np.split(np.arange(len(order)), np.flatnonzero(share[1:] != share[:-1]) + 1):
+        yield [(rows[k][0], rows[k][1], rows[k][2] + w, rows[k][3][w : w + length]) for k, w in zip(row[own].tolist(), place[own].tolist(), strict=True)]
+
+
 def _sort_shard(length: int):
+    """Suffix-sorts groups of one (key, part), several small ones together, a large one share after share."""
+    most = ARRAY_BYTES
+
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         text, offset = repeated_windows([r[3] for r in rows], length)
         new = np.ones(len(text), bool)
@@ -187,18 +255,32 @@ def _sort_shard(length: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, ready_size = [], 0  # whole groups
         rows, size, group = [], 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal ready, ready_size, rows, size
+            if size > 4 * most:
+                for share in _shares(rows, length, most):
+                    yield solve(share)
+            else:
+                if ready and ready_size + size > most:
+                    yield solve(ready)
+                    ready, ready_size = [], 0
+                ready += rows
+                ready_size += size
+            rows, size = [], 0
+
         for batch in batches:
             for key, part, content, skip, text in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "content", "skip", "bytes")), strict=True):
                 if (key, part) != group:
-                    if size > ARRAY_BYTES:
-                        yield solve(rows)
-                        rows, size = [], 0
+                    yield from close()
                     group = (key, part)
                 rows.append((key, content, skip, text))
                 size += len(text)
-        if rows:
-            yield solve(rows)
+        yield from close()
+        if ready:
+            yield solve(ready)
 
     return run
 
@@ -273,28 +355,13 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def _solve(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Repeated windows of one copy of each wanted segment: (key, content, skip, repeats).
 
-    Segments of an anchor with many kinds are cut by the windows' distance to the
-    anchor, which equal windows share, and those parts are sorted apart.
+    Segments of an anchor with many kinds are dealt by further anchors, which
+    equal windows share, and those parts are sorted apart.
     """
     at = F.col("at")
-    band = 32
-    pieces = F.when(F.col("n_kinds") > HOT_SEGMENTS, F.sequence(F.expr(f"(at.distance - at.windows + 1) div {band}"), F.expr(f"at.distance div {band}"))).otherwise(
-        F.array(F.lit(-1).cast("long"))
-    )
-    cut = wanted.select("key", "content", "at", F.explode(pieces).alias("part"))
-    # window k has distance (distance - k): part p holds those with p = (distance - k) div band
-    first = F.when(F.col("part") < 0, F.lit(0)).otherwise(F.expr(f"greatest(0, at.distance - part * {band} - {band - 1})"))
-    last = F.when(F.col("part") < 0, at["windows"] - 1).otherwise(F.expr(f"least(at.windows - 1, at.distance - part * {band})"))
-    piece = F.struct(
-        "key",
-        "content",
-        F.col("part").cast("int").alias("part"),
-        first.cast("int").alias("skip"),
-        (at["start"] + first).alias("at"),
-        (at["start"] + last + length).alias("until"),
-    )
-    per_text = cut.groupBy(at["text_a"].alias("text_a"), at["text_b"].alias("text_b")).agg(F.collect_list(piece).alias("wanted"))
+    piece = F.struct("key", "content", at["start"].alias("at"), at["windows"].alias("windows"), at["distance"].alias("distance"), (F.col("n_kinds") > HOT_SEGMENTS).alias("hot"))
+    per_text = wanted.groupBy(at["text_a"].alias("text_a"), at["text_b"].alias("text_b")).agg(F.collect_list(piece).alias("wanted"))
     bytes_ = texts.join(per_text, ["text_a", "text_b"]).dropDuplicates(["text_a", "text_b"]).select("text", "wanted")
-    shards = bytes_.mapInArrow(_cut, "key long, part int, content long, skip int, bytes binary")
+    shards = bytes_.mapInArrow(_cut(length), "key long, part long, content long, skip int, bytes binary")
     shards = shards.repartition("key", "part").sortWithinPartitions("key", "part")
     return shards.mapInArrow(_sort_shard(length), "key long, content long, skip int, repeats int")

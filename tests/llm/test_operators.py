@@ -89,9 +89,11 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[k] == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeated_substrings(docs, empty, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "array", "piece"), [(500, 2 << 20, 4 << 20), (0, 1000, 700), (0, 2 << 20, 1 << 20)])
+def test_repeated_substrings(docs, empty, hot, array, piece, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
     data = [(i, (t or "").encode()) for i, t in TEXTS]
     seen = collections.Counter(b[k : k + 400] for _, b in data for k in range(len(b) - 399))
     want = []
