@@ -11,21 +11,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import text_kernels as tk
 from strandlake.llm.pieces import lowered, special_splitter, word_pieces
 from strandlake.llm.lexicon import Lexicon
-from strandlake.llm.scratch import ship_package
+from strandlake.llm.scratch import put_file, ship_file, ship_package, shipped
 
 LEXICON_WORDS = 1 << 16
 #: Merged words that a worker remembers; beyond it, it begins anew.
@@ -218,16 +214,17 @@ class WordCoder:
 
 
 def coder_of(vocabulary: str, file: str) -> WordCoder:
-    """This worker's coder for a lexicon file that was added to the Spark context."""
+    """This worker's coder for a vocabulary and a lexicon that were shipped to it."""
     if (vocabulary, file) not in _coders:
         _coders.clear()
-        _coders[vocabulary, file] = WordCoder(vocabulary, Lexicon.mapped(SparkFiles.get(file)))
+        _coders[vocabulary, file] = WordCoder(shipped(vocabulary), Lexicon.mapped(shipped(file)))
     return _coders[vocabulary, file]
 
 
 def _count_words(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal, split = normaliser(vocabulary), special_splitter(list(model_of(vocabulary).specials))
+        path = shipped(vocabulary)
+        normal, split = normaliser(path), special_splitter(list(model_of(path).specials))
         for batch in batches:
             for part in tk.slices(batch, limit=4 * tk.SLICE_BYTES):
                 texts = tk.text_column(part.column("text")).to_pylist()
@@ -245,7 +242,7 @@ def _count_words(vocabulary: str):
 def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(word, n) over all texts."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    return rows.mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count_words(ship_file(docs.sparkSession, vocabulary)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> str:
@@ -257,11 +254,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -
     model = model_of(vocabulary)
     frequent = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(size)
     entries = {r.word: model.merge(r.word) for r in frequent.toLocalIterator()}
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    Lexicon.compile(entries).save(os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+    return put_file(spark, "lexicon", Lexicon.compile(entries).to_bytes())
 
 
 def _encode(vocabulary: str, file: str, texts_too: bool):
@@ -296,6 +289,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon: str | None = Non
     file = lexicon or build_lexicon(docs, vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return rows.mapInArrow(_encode(vocabulary, file, not digests), schema)
+    return rows.mapInArrow(_encode(ship_file(spark, vocabulary), file, not digests), schema)
 
 

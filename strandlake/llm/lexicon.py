@@ -79,14 +79,13 @@ class Lexicon:
             }
         )
 
-    def save(self, path: str) -> None:
-        """One file: a header of array sizes, then the arrays, each on an 8-byte boundary."""
-        with open(path, "wb") as f:
-            arrays = [np.ascontiguousarray(getattr(self, n)) for n in _ARRAYS]
-            f.write(np.array([len(a) for a in arrays], np.int64).tobytes())
-            for a in arrays:
-                f.write(a.tobytes())
-                f.write(b"\0" * (-a.nbytes % 8))
+    def to_bytes(self) -> bytes:
+        """A file's content: a header of array sizes, then the arrays, each on an 8-byte boundary."""
+        arrays = [np.ascontiguousarray(getattr(self, n)) for n in _ARRAYS]
+        parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
+        for a in arrays:
+            parts += [a.tobytes(), b"\0" * (-a.nbytes % 8)]
+        return b"".join(parts)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import text_kernels as tk
 from strandlake.llm.elias_fano import EliasFano
 from strandlake.llm.pieces import byte_pieces, special_splitter
-from strandlake.llm.scratch import new_folder, ship_package, stored
+from strandlake.llm.scratch import dealt, new_folder, ship_file, ship_package, shipped, stored
 
 END_ID = 2
 #: Distinct pieces a worker remembers; beyond it, it begins anew.
@@ -208,7 +208,7 @@ class Shard:
 def _write(folder: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
-        coder, part, number = coder_of(vocabulary), TaskContext.get().partitionId(), 0
+        coder, part, number = coder_of(shipped(vocabulary)), TaskContext.get().partitionId(), 0
         doc_ids, sizes, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -246,7 +246,7 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = stored(ordered.mapInArrow(_write(folder, vocabulary, end_id), "part long, number long, file string, n_docs long, n_ids long"), "shards")
+    written = stored(ordered.mapInArrow(_write(folder, ship_file(docs.sparkSession, vocabulary), end_id), "part long, number long, file string, n_docs long, n_ids long"), "shards")
     # one row a shard: the running sum needs one task and few rows
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return stored(written.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))), "manifest")
@@ -271,7 +271,7 @@ def _read(folder: str):
 
 def read_token_store(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files."""
-    shards = manifest.select("file", "first_id").repartition(F.col("file"))
+    shards = dealt(manifest.select("file", "first_id"))
     return shards.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -19,13 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.scratch import new_folder, ship_package, stored
+from strandlake.llm.scratch import dealt, new_folder, ship_package, stored, with_group
 
 #: Compressed bytes from which a writer begins another archive.
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
-#: Shares of each group of equal payloads, so that none is joined in one task.
-SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -139,9 +137,7 @@ def write_warc(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFra
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     groups = rows.where(F.octet_length("html") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    groups = groups.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", salt).join(groups, ["digest", "salt"], "left")
+    joined = with_group(rows, stored(groups, "payloads"), "digest", "n", "page_id")
     revisit = F.coalesce(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")), F.lit(False))
     records = joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
     return stored(records.mapInArrow(_write(folder), "file string, n_records long"), "archives")
@@ -191,10 +187,10 @@ def _read(folder: str, payloads: bool):
 
 
 def read_warc(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Rows of all records in the listed archives, each read from start to end by one task."""
+    """Rows of all records in the listed archives, each read from start to end, as many side by side as there are tasks."""
     ship_package(archives.sparkSession)
     extra = ", url string, payload binary" if payloads else ""
-    return archives.select("file").repartition(F.col("file")).mapInArrow(_read(folder, payloads), _READ_SCHEMA + extra)
+    return dealt(archives.select("file")).mapInArrow(_read(folder, payloads), _READ_SCHEMA + extra)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
