@@ -179,15 +179,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Discriminant:
     """Fit on at most ``limit`` labelled documents, chosen by a hash of their id; held-out ones are left out.
 
-    Labels other than 0 and 1, null ids and labels without a document count for nothing.
+    Labels other than 0 and 1, null ids and labels without a document count for
+    nothing.  Of several labels of one id the least counts, of several documents
+    of one id the least text, so the fit does not depend on the order of rows.
+    Empty tables give a model that scores everything by equal odds.
     """
     ship_package(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = rows.select("quality", "text").mapInArrow(_features, "quality int, features array<double>")
-    got = rows.limit(2 * limit).toPandas()  # at most ``limit`` labels; repeated documents count twice at most
+    got = rows.toPandas()  # at most ``limit`` rows
     x = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES))
     label = got["quality"].to_numpy(int)
     order = np.lexsort((*x.T, label))  # the fit does not depend on the order of rows
@@ -221,7 +226,12 @@ def score_quality(docs: DataFrame, model: Discriminant, threshold: float = THRES
 
 
 def drop_low_quality(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text is predicted good, with all their columns."""
+    """The rows of ``docs`` whose text is predicted good, with all their columns, in their order.
+
+    Only texts are looked at: null ones score as empty ones; null ids, repeated
+    rows and ties are rows like others; an empty table gives no rows.  Columns may
+    have any names, ``score`` and ``predicted`` too.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
