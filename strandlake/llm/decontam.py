@@ -11,6 +11,7 @@ by hash, and the words around each hit are compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import text_kernels as tk
-from strandlake.llm.scratch import ship_package
+from strandlake.llm.scratch import fresh_name, ship_package
 
 WINDOW = 20
 PERCENT = 80
@@ -73,10 +74,17 @@ class Items:
                 maybe[key >> np.uint64(64 - _FILTER_BITS)] = True
                 self.tables.append((mask, key[order], item[order], (first - self.at[item])[order], maybe))
 
-    def hits(self, words: tk.Words) -> tuple[np.ndarray, ...]:
-        """Distinct (document, item, shift): item word 0 stands at document word ``shift``."""
+    def hits(self, words: tk.Words) -> Iterator[tuple[np.ndarray, ...]]:
+        """Distinct (document, item, shift), some _CANDIDATES a time: item word 0 stands at document word ``shift``."""
         at = words.at.astype(np.int64)
-        found = []
+        found, held = [], 0
+
+        def distinct() -> tuple[np.ndarray, ...]:
+            first, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            doc = np.searchsorted(at, first, "right") - 1
+            rows = np.unique(np.stack((doc, item, first - place - at[doc])), axis=1)
+            return rows[0], rows[1], rows[2]
+
         for mask, keys, item, place, maybe in self.tables:
             first = _places(at, mask[-1] + 1)
             seed = _seeds(words.hash, mask, first)
@@ -84,22 +92,24 @@ class Items:
             first, seed = first[some], seed[some]
             lo = np.searchsorted(keys, seed)
             n = np.searchsorted(keys, seed, "right") - lo
-            rows = tk.ranges(lo, n)
-            first = np.repeat(first, n)
-            found.append((first, item[rows], place[rows]))
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        first, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        doc = np.searchsorted(at, first, "right") - 1
-        shift = first - place - at[doc]
-        rows = np.unique(np.stack((doc, item, shift)), axis=1) if len(doc) else np.stack((doc, item, shift))
-        return rows[0], rows[1], rows[2]
+            first, lo, n = first[n > 0], lo[n > 0], n[n > 0]
+            # a seed that many items share is expanded in steps
+            sums, begin = np.cumsum(n), 0
+            while begin < len(n):
+                before = int(sums[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sums, before + _CANDIDATES, "right")))
+                rows = tk.ranges(lo[begin:end], n[begin:end])
+                found.append((np.repeat(first[begin:end], n[begin:end]), item[rows], place[rows]))
+                held, begin = held + len(rows), end
+                if held >= _CANDIDATES:
+                    yield distinct()
+                    found, held = [], 0
+        if held:
+            yield distinct()
 
     def verified(self, words: tk.Words) -> tuple[np.ndarray, ...]:
         """(document, item, agreeing words, word of the document) of the best window of each pair that has one."""
-        hits = self.hits(words)
-        out = [self._verify(words, *(x[k : k + _CANDIDATES] for x in hits)) for k in range(0, len(hits[0]), _CANDIDATES)]
+        out = [self._verify(words, *hits) for hits in self.hits(words)]
         none = np.zeros(0, np.int64)
         doc, item, agree, word = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none,) * 4
         order = np.lexsort((word, -agree, item, doc))
@@ -134,10 +144,33 @@ class Items:
         return doc[ok], item[ok], most[ok], (shift + lo + first)[ok]
 
 
+#: The last block's seed tables of this worker.
+_tables: dict[int, Items] = {}
+
+
+def items_of(shared) -> Items:
+    """Seed tables of a broadcast block, built once a worker."""
+    if shared.id not in _tables:
+        _tables.clear()
+        ids, texts = shared.value
+        _tables[shared.id] = Items(ids, pa.array(texts, pa.large_string()))
+    return _tables[shared.id]
+
+
+class _Block:
+    """A broadcast block of items and a number that tells it from others."""
+
+    def __init__(self, spark, block: tuple[list[int], list[str]]):
+        self.shared, self.id = spark.sparkContext.broadcast(block), uuid.uuid4().int
+
+    @property
+    def value(self):
+        return self.shared.value
+
+
 def _match(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        items = Items(ids, pa.array(texts, pa.large_string()))
+        items = items_of(shared)
         for batch in batches:
             for part in tk.slices(batch):
                 words = tk.Words(*tk.flat_bytes(part.column("text")))
@@ -181,12 +214,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, agreeing_words long, window_words long, first_word long"
     out = spark.createDataFrame([], schema)
     for n, block in enumerate(_blocks(benchmark)):
-        found = rows.mapInArrow(_match(spark.sparkContext.broadcast(block)), schema)
+        found = rows.mapInArrow(_match(_Block(spark, block)), schema)
         out = found if n == 0 else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without a doc_id stay."""
-    bad = contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item; of an id of which one row does, all rows go.
+
+    Null and empty texts hold nothing and stay; rows without a doc_id stay; an
+    empty table gives no rows, an empty benchmark all.  All columns are returned,
+    whatever their names.
+    """
+    name = fresh_name(docs, "__bad")
+    bad = contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
