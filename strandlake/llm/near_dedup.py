@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import text_kernels as tk
 from strandlake.llm.components import connected_components
-from strandlake.llm.scratch import ship_package, stored
+from strandlake.llm.scratch import fresh_name, ship_package, stored, with_group
 
 SHINGLE_WORDS = 5
 #: Slots of the frequency table that orders a prefix; any order gives the same links.
-ORDER_SLOTS = 1 << 16
+ORDER_SLOTS = 1 << 18
 
 
 def halves_for(similarity: float, hashes_per_half: int, miss: float) -> int:
@@ -185,11 +185,8 @@ class NearDuplicates:
         """Verified links (a, b) that connect the classes; a < b."""
         sizes = reps.select("rep", "n_shingles")
         keys = reps.select("rep", F.explode(_tensor(self.m)).alias("key"))
-        buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-        stars = stored(
-            keys.join(buckets, "key").where("rep <> hub").select("key", "members", "hub", "rep"),
-            "stars",
-        )
+        buckets = stored(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1"), "buckets")
+        stars = stored(with_group(keys, buckets, "key", "members", "rep").where("rep <> hub").select("key", "members", "hub", "rep"), "stars")
         # texts move once: later steps only look at documents that share a bucket
         sharing = stars.select("rep").unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
         texts = stored(texts.join(sharing, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
@@ -244,9 +241,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays: the least doc_id of each component.
 
-    Documents of the same id, text and component count once; rows without a
-    doc_id stay (they cannot be named as copies).  All columns are returned.
+    Rows of one id stay together; null and empty texts have no copies and stay;
+    rows without a doc_id stay (they cannot be named as copies); an empty table
+    gives no rows.  All columns are returned, whatever their names.
     """
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    named = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    name = fresh_name(docs, "__kept")
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
