@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 #: Shards of one tier from which they are merged.
 MERGE_FROM = 4
+#: Versions from one whole list of shards to the next.
+CHECKPOINT = 16
 
 
 class CommitConflict(RuntimeError):
@@ -40,7 +44,12 @@ class ShardFile:
 
 
 class ShardSet:
-    """A folder of shards on any Hadoop file system."""
+    """A folder of shards on any Hadoop file system.
+
+    Version n's manifest says what it adds to version n - 1 and what it takes
+    away, so a commit costs as much as it changes; each CHECKPOINT-th also has the
+    whole list, from which readers start.
+    """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.root, self.target = spark, root.rstrip("/"), target_bytes
@@ -56,29 +65,45 @@ class ShardSet:
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
     def shards(self, version: int | None = None) -> list[ShardFile]:
+        """The shards of a version, in the order in which they came."""
         version = self.version() if version is None else version
-        if version == 0:
-            return []
+        changes, own = [], {}
+        for v in range(version, 0, -1):
+            manifest = self._manifest(v)
+            if "shards" in manifest:
+                own = {x["path"]: ShardFile(**x) for x in manifest["shards"]}
+                break
+            changes.append(manifest)
+        for manifest in reversed(changes):
+            for path in manifest["removed"]:
+                del own[path]
+            own |= {x["path"]: ShardFile(**x) for x in manifest["added"]}
+        return list(own.values())
+
+    def _manifest(self, version: int) -> dict:
         lines = self.fs.open(self._path(self._name(version)))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(lines, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(lines, "UTF-8"))
         finally:
             lines.close()
-        return [ShardFile(**x) for x in json.loads(text)["shards"]]
 
     def _name(self, version: int) -> str:
         return f"{self.root}/manifests/v{version:012d}.json"
 
-    def commit(self, base: int, shards: list[ShardFile]) -> int:
-        """Make ``shards`` version base + 1, or raise CommitConflict if that exists.
+    def commit(self, base: int, added: list[ShardFile], removed: list[str] = []) -> int:  # noqa: B006 - not changed
+        """Make version base + 1 of what changes, or raise CommitConflict if that exists.
 
         The whole text is written aside, then renamed without overwriting.
         """
         version = base + 1
+        manifest = {"version": version, "added": [asdict(s) for s in added], "removed": list(removed)}
+        if version % CHECKPOINT == 0:
+            gone = set(removed)
+            manifest["shards"] = [asdict(s) for s in [*(x for x in self.shards(base) if x.path not in gone), *added]]
         aside = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         out = self.fs.create(aside, False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
         jvm = self.spark._jvm
@@ -86,9 +111,9 @@ class ShardSet:
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(aside, self._path(self._name(version)), none)
-        except Exception as e:
+        except Py4JJavaError as e:
             self.fs.delete(aside, False)
-            if "FileAlreadyExistsException" in str(e):
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 raise CommitConflict(f"version {version} exists") from e
             raise
         return version
@@ -98,64 +123,71 @@ class ShardSet:
     def _write(self, df: DataFrame) -> list[ShardFile]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        files = self.fs.listStatus(self._path(folder))
-        return [ShardFile(s.getPath().toString(), s.getLen()) for s in files if s.getPath().getName().startswith("part-")]
+        files = [s for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
+        if len(files) == 1 and df.sparkSession.read.parquet(folder).limit(1).count() == 0:
+            self.fs.delete(self._path(folder), True)  # an empty table leaves one file without rows
+            return []
+        return [ShardFile(s.getPath().toString(), s.getLen()) for s in files]
 
     def append(self, df: DataFrame) -> int:
-        """Write an arrival, one shard for each of its partitions, and commit it."""
+        """Write an arrival, one shard for each of its partitions that has rows, and commit it; nothing is committed of an empty one."""
         new = self._write(df)
         while True:
             base = self.version()
+            if not new:
+                return base
             try:
-                return self.commit(base, self.shards(base) + new)
+                return self.commit(base, new)
             except CommitConflict:
                 continue
 
-    def _runs(self, shards: list[ShardFile], least: int) -> list[list[ShardFile]]:
-        """Runs of similarly sized shards to merge, each at least ``least`` long and of a few targets' bytes."""
+    def _small(self, shards: list[ShardFile], least: int) -> list[ShardFile]:
+        """Shards of all tiers below the first that have at least ``least`` of them."""
         tiers: dict[int, list[ShardFile]] = {}
         for s in shards:
             if s.tier(self.target) > 0:
                 tiers.setdefault(s.tier(self.target), []).append(s)
-        runs = []
-        for _, own in sorted(tiers.items(), reverse=True):
-            if len(own) >= least:
-                run, size = [], 0
-                for s in sorted(own, key=lambda s: s.path):
-                    run.append(s)
-                    size += s.size
-                    if size >= 64 * self.target and len(run) >= least:
-                        runs.append(run)
-                        run, size = [], 0
-                if len(run) > 1:
-                    runs.append(run)
-        return runs
+        return [s for own in tiers.values() if len(own) >= least for s in own]
+
+    def _merged(self, run: list[ShardFile]) -> list[ShardFile]:
+        """One job for all: the scan packs whole small files into partitions of up to the target, a file each, and shuffles nothing."""
+        session = self.spark.newSession()
+        for name, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            session.conf.set(f"spark.sql.files.{name}", str(value))
+        return self._write(session.read.parquet(*[s.path for s in run]))
 
     def compact(self, least: int = MERGE_FROM) -> int:
-        """Merge until no tier has ``least`` shards; each round is one commit.  Returns the version."""
+        """Merge until no tier has ``least`` shards; each round is one job and one commit.  Returns the version."""
         while True:
             base = self.version()
-            shards = self.shards(base)
-            runs = self._runs(shards, least)
-            if not runs:
+            run = self._small(self.shards(base), least)
+            if not run:
+                return base
+            made, gone = self._merged(run), [s.path for s in run]
+            if len(made) >= len(run):  # nothing fits together
                 return base
-            gone, made = set(), []
-            for run in runs:
-                size = sum(s.size for s in run)
-                n = max(1, round(size / self.target))
-                rows = self.spark.read.parquet(*[s.path for s in run])
-                made += self._write(rows.coalesce(n))
-                gone.update(s.path for s in run)
             while True:
                 try:
-                    self.commit(base, [s for s in shards if s.path not in gone] + made)
+                    self.commit(base, made, gone)
                     break
                 except CommitConflict:  # arrivals came in between; they stay beside what was merged
                     base = self.version()
-                    shards = self.shards(base)
-                    if not gone <= {s.path for s in shards}:
+                    if not set(gone) <= {s.path for s in self.shards(base)}:
                         break  # another compaction took a part of these: begin anew
 
+    def remove_orphans(self, keep: int = 1, older_than_ms: int = 86_400_000) -> int:
+        """Delete data files that none of the last ``keep`` versions names and that are old enough to be no one's work in hand; their number."""
+        last = self.version()
+        named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)}
+        before, data = int(time.time() * 1000) - older_than_ms, self._path(f"{self.root}/data")
+        n, files = 0, self.fs.listFiles(data, True) if self.fs.exists(data) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            if f.getPath().toString() not in named and f.getModificationTime() <= before:
+                self.fs.delete(f.getPath(), False)
+                n += f.getPath().getName().startswith("part-")
+        return n
+
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version; None where it has no shard."""
         shards = self.shards(version)
