@@ -196,10 +196,11 @@ class NearDuplicates:
         open_stars = stars.where("members > 2")
         hub = node.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         own = node.select(F.col("node").alias("rep"), "component")
-        split = (
-            open_stars.join(own, "rep", "left").join(hub, "hub", "left").where("coalesce(component, rep) <> coalesce(hub_component, hub)").select("key").distinct()
-        )
-        mixed = open_stars.join(split, "key", "left_semi")
+        # one row a bucket: whether all its members are in the hub's component
+        component = F.coalesce("component", "rep")
+        split = open_stars.join(own, "rep", "left").groupBy("key").agg(F.min(component).alias("lo"), F.max(component).alias("hi"), F.min("hub").alias("hub"), F.count("*").alias("n"))
+        split = split.join(hub, "hub", "left").where("lo <> hi or lo <> coalesce(hub_component, hub)").select("key", "n")
+        mixed = with_group(open_stars, stored(split, "split"), "key", "n", "rep").where("n is not null")
         active = mixed.select("rep").unionByName(mixed.select(F.col("hub").alias("rep"))).distinct()
         active = active.join(own, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
         more = self.verify(self.prefix_pairs(active, texts), sizes, texts)
