@@ -10,7 +10,8 @@ from strandlake.kmers import kmer_text, packed_kmers
 from strandlake.operators import filters, graph, stores
 from strandlake.plans.common import RC_SQL, items, kmers_sql, packed, query
 from strandlake.plans.projection import READS_SQL, reads
-from strandlake.sources import graph_files
+from strandlake.sources import fastx, graph_files
+from strandlake.tables import shared_path
 
 GRAPH_K = 15
 
@@ -69,6 +70,24 @@ def graph_unitigs(spark, sf_dir):
     return _graph(spark, sf_dir).unitigs.select("sequence", "circular")
 
 
+@query(f"with recursive {unitigs_sql()} select sequence from u")
+def graph_update(spark, sf_dir):
+    """Linear unitigs of a graph of even reads that was saved, loaded and took in the odd ones."""
+    rows, path = packed(spark, sf_dir, GRAPH_K), shared_path(spark, "graph")
+    graph.Compacted(graph.nodes(rows.where("seq_no % 2 = 0")), GRAPH_K).save(path)
+    made = graph.Compacted.load(spark, path).updated(graph.nodes(rows.where("seq_no % 2 = 1")))
+    return made.unitigs.where("not circular").select("sequence")
+
+
+@query(f"with {nodes_sql(False, 2)} select kmer as sequence, 'DECISION' as meta, length(kmer)::int as length from d")
+def graph_fasta(spark, sf_dir):
+    """Decision nodes of the graph of repeated k-mers, from a FASTA file of it."""
+    path = shared_path(spark, "graph-fasta")
+    graph_files.write_graph(_graph(spark, sf_dir, least=2), path, "fasta")
+    rows = fastx.read_fastx(spark, path, kind="fasta").select("sequence", F.regexp_extract("comment", "type=([A-Z]+)", 1).alias("meta"), F.regexp_extract("comment", "L=([0-9]+)", 1).cast("int").alias("length"))
+    return rows.where("meta = 'DECISION'")
+
+
 @query(f"with recursive {unitigs_sql(True)} select sequence from u")
 def canonical_unitigs(spark, sf_dir):
     """Linear unitigs of the graph of both strands."""

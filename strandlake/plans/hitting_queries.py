@@ -12,7 +12,7 @@ from strandlake.operators import hitting, sketch, stores, tags
 from strandlake.plans.common import RC_SQL, hash_sql, kmers_sql, packed, query, table
 from strandlake.plans.projection import reads
 from strandlake.sources import signatures
-from strandlake.tables import stored
+from strandlake.tables import shared_path, stored
 
 W, K = 25, 7
 
@@ -118,8 +118,10 @@ def _sketches(spark, sf_dir):
 
 @query(f"with {_SKETCHES} select source as name, {W} as w, {K} as k, count(*)::int as size, sum(n)::bigint as total, md5(string_agg(n::bigint::varchar, ',' order by part)) as md5sum from g group by source")
 def partition_signatures(spark, sf_dir):
-    """Signatures of each source: distinct w-mers by partition."""
-    rows = signatures.partition_signatures(_sketches(spark, sf_dir), W, K, "source")
+    """Signatures of each source, distinct w-mers by partition, written as JSON and read back."""
+    path = shared_path(spark, "partition-signatures")
+    signatures.write_signatures(signatures.partition_signatures(_sketches(spark, sf_dir), W, K, "source"), path)
+    rows = signatures.read_partition_signatures(spark, path)
     return rows.select("name", "w", "k", "size", F.aggregate("sketch", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "md5sum")
 
 

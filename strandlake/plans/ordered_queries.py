@@ -100,7 +100,9 @@ def interval_ticks(spark, sf_dir):
     return _interval_ticks(spark, sf_dir)
 
 
-@query(f"{_TICKS} select lang, tick::bigint as tick, tick % 3 = 0 as every_third, tick in (1, 2, 4, 7, 12, 20, 33, 54, 88, 143) as fibonacci, tick <= 10 or tick in (12, 14, 16, 18, 20, 22, 25, 28, 31, 34, 38, 42, 46, 51, 56, 61, 67, 73, 80, 87, 95, 103, 112, 122, 132) as exponential from s where hit and tick <= 100")
+@query(f"""{_TICKS}, fib as (select 1 as x, 1 as a, 1 as b union all select x + b, b, a + b from fib where x + b <= 100),
+ex as (select 0 as i, 1 as x union all select i + 1, x + greatest(1, floor(pow(1.08, i + 1))::int) from ex where x < 100)
+select lang, tick::bigint as tick, tick % 3 = 0 as every_third, tick in (select x from fib) as fibonacci, tick in (select x from ex) as exponential from s where hit and tick <= 100""")
 def throttled_ticks(spark, sf_dir):
     """Which ticks fire: each third, those with Fibonacci gaps, those with exponential gaps."""
     rows = _interval_ticks(spark, sf_dir).where("tick <= 100")

@@ -43,6 +43,7 @@ def graphml_lines(graph: Compacted) -> DataFrame:
     return nodes.unionByName(links)
 
 
+#: Opening lines of the formats; fixed values.
 _HEADS = {
     "gfa1": ["H\tVN:Z:1.0"],
     "graphml": [
@@ -70,7 +71,8 @@ def write_graph(graph: Compacted, path: str, kind: str = "gfa1") -> None:
 
 def minimizer_csv(minimizers: DataFrame, path: str) -> None:
     """Rows of sequence number, position, hash and k-mer, without a header."""
-    minimizers.select("seq_no", "pos", unsigned_text(F.col("h")), "kmer").write.csv(path)
+    h = F.col("h") if dict(minimizers.dtypes)["h"] == "string" else unsigned_text(F.col("h"))
+    minimizers.select("seq_no", "pos", h, "kmer").write.csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
