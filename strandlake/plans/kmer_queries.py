@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions import hashing, protein
+from strandlake.functions import hashing, murmur, protein
 from strandlake.functions.alphabet import ANY, DNA, DNAN, IUPAC
 from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned_min, unsigned_text
 from strandlake.kmers import kmer_text, packed_kmers
@@ -105,6 +105,41 @@ def hash_lengths(spark, sf_dir):
     return rows.select("kmer", *[unsigned_text(c).alias(n) for c, n in zip(out, ("extended", "prepended", "shrunk"), strict=True)])
 
 
+def _murmur_sql(column: str, source: str) -> str:
+    """Steps of the published 64-bit hash of a 21-symbol text, in unsigned arithmetic modulo 2**64: m1 to m6, of which m6 has (kmer, h)."""
+    top = "18446744073709551616::uhugeint"
+    mul = lambda a, b: f"(({a})::uhugeint * {b}::uhugeint % {top})::ubigint"
+    add = lambda a, b: f"((({a})::uhugeint + ({b})::uhugeint) % {top})::ubigint"
+    turn = lambda x, by: f"({mul(x, 1 << by)} + ({x}) // {1 << (64 - by)}::ubigint)"
+    c1, c2 = int(murmur.C1), int(murmur.C2)
+    first = lambda k: mul(turn(mul(k, c1), 31), c2)
+    second = lambda k: mul(turn(mul(k, c2), 33), c1)
+    word = lambda a, n: " + ".join(f"ascii(substr({column}, {a + i + 1}, 1))::ubigint * {1 << 8 * i}::ubigint" for i in range(n))
+    shift = f"{1 << 33}::ubigint"
+
+    def mixed(x: str) -> str:
+        return f"xor({x}, ({x}) // {shift})"
+
+    m_1, m_2 = (int(m) for m in (murmur.M1, murmur.M2))
+    return f"""m1 as (select {column} as kmer, {word(0, 8)} as k1, {word(8, 8)} as k2, {word(16, 5)} as k3 from {source}),
+    m2 as (select *, {add(mul(add(turn(f"xor({murmur.SEED}::ubigint, {first('k1')})", 27), f"{murmur.SEED}::ubigint"), 5), f"{int(murmur.A1)}::ubigint")} as h1 from m1),
+    m3 as (select *, {add(mul(add(turn(f"xor({murmur.SEED}::ubigint, {second('k2')})", 31), "h1"), 5), f"{int(murmur.A2)}::ubigint")} as h2 from m2),
+    m4 as (select kmer, xor(xor(h1, {first('k3')}), 21::ubigint) as a, xor(h2, 21::ubigint) as b from m3),
+    m5 as (select kmer, {add("a", "b")} as x, {add(add("a", "b"), "b")} as y from m4),
+    m5a as (select kmer, {mul(mixed("x"), m_1)} as x, {mul(mixed("y"), m_1)} as y from m5), m5b as (select kmer, {mul(mixed("x"), m_2)} as x, {mul(mixed("y"), m_2)} as y from m5a),
+    m6 as (select kmer, {add(mixed("x"), mixed("y"))} as h from m5b)"""
+
+
+@query(f"""with {kmers_sql(K)}, c as (select seq_no, least(kmer, {RC_SQL.format("kmer")}) as kmer from k), e as (select distinct kmer from c), {_murmur_sql("kmer", "e")}
+select seq_no, count(*)::bigint as n, min(h)::varchar as least, max(h)::varchar as most, bit_xor(h)::varchar as all_h from c join m6 using (kmer) group by seq_no""")
+def murmur_hashes(spark, sf_dir):
+    """The exchange hash of every k-mer, of the lesser strand, summed up for each read."""
+    key = hashing.unsigned_key
+    rows = murmur.murmur_kmers(reads(spark, sf_dir), K)
+    ends = [unsigned_text(key(f(key(F.col("h"))))).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))]
+    return rows.groupBy("seq_no").agg(F.count("*").alias("n"), *ends, unsigned_text(F.bit_xor("h")).alias("all_h"))
+
+
 _CODE = "strpos('TCAG', substr(c, 1, 1)) * 16 + strpos('TCAG', substr(c, 2, 1)) * 4 + strpos('TCAG', substr(c, 3, 1)) - 20"
 
 
