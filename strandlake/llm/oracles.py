@@ -37,7 +37,7 @@ _KINDS = (
     ("card_run", r"[0-9]+", f"length(d) between 15 and 16 and {_LUHN}", "card"),
     ("phone_run", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "true", "phone"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _MOD97, None),
-    ("secret", r'(?:token|key|secret|password) ?[=:] ?"[^"\s]{8,200}"?', "true", None),
+    ("secret", r'(?i:token|key|secret|password) ?[=:] ?"[^"\s]{8,}"?', "true", None),
 )
 
 
