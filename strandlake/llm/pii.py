@@ -1,8 +1,10 @@
 """Operator 6: personal data by regular expressions and checksums, all in DataFrame functions.
 
 An expression proposes spans, a validator (digit counts, Luhn, mod-97) confirms
-them.  Words nearby raise the score of a span, which decides nothing: every kind's
-own score is above LEAST_SCORE.  Places are code points:
+them.  Whole words within NEAR code points raise the score of a span.  Base kinds
+are returned whatever their score; of the added kinds those that a checksum or a
+fixed shape supports pass LEAST_SCORE on their own, and the weak ones
+(``phone_local``, ``id_number``) only with such a word nearby.  Places are code points:
 as no expression looks around its match (other than to start where the previous
 match or a run of its first class starts, which changes no match), the leftmost
 occurrence of a matched string after the previous match is the match itself.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 _DIGITS = "[^0-9]"
 NEAR = 40
 LEAST_SCORE = 0.5
+NEAR_SCORE = 0.2
 _SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 
@@ -63,7 +66,7 @@ def _between(least: int, most: int) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Kind:
-    """name, expression, cheap test of the text, validator, score alone, words that raise it, whether it is base, the kind that covers it, and whether shorter ends are tried."""
+    """name, expression, cheap test of the text, validator, score alone, whole words (also in the plural) that raise it, whether it is base, the kind that covers it, and whether shorter ends are tried."""
 
     name: str
     pattern: str
@@ -77,15 +80,18 @@ class Kind:
 
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda x: F.lit(True), 0.9, "mail|contact"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda x: F.lit(True), 0.9, "e?mail|contact"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", lambda t: F.contains(t, F.lit(".")), _address, 0.6, "ip|host|server|address"),
     Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", lambda t: F.lit(True), lambda x: F.length(_digits(x)).between(16, 19) & luhn(x), 0.8, "card|visa|credit|pay"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), _between(8, 15), 0.6, "phone|call|tel|fax|mobile"),
-    # what the method adds to the base: numbers that stand beside others, accounts and keys
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), _between(8, 15), 0.6, "phone|telephone|call|tel|fax|mobile"),
+    # what the method adds to the base: numbers that stand beside others, accounts and keys,
+    # and numbers of a shape that only the words nearby make personal
     Kind("card_run", r"[0-9]++", lambda t: F.lit(True), lambda x: F.length(x).between(15, 16) & luhn(x), 0.6, "card|visa|credit|pay", False, "card"),
-    Kind("phone_run", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", lambda t: F.contains(t, F.lit("+")), lambda x: F.lit(True), 0.6, "phone|call|tel|fax|mobile", False, "phone"),
+    Kind("phone_run", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", lambda t: F.contains(t, F.lit("+")), lambda x: F.lit(True), 0.6, "phone|telephone|call|tel|fax|mobile", False, "phone"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", lambda t: F.lit(True), mod97, 0.8, "iban|account|bank", False, shorter=True),
     Kind("secret", r"""(?i:token|key|secret|password) ?[=:] ?"[^"\s]{8,}"?""", lambda t: F.contains(t, F.lit('"')), lambda x: F.lit(True), 0.7, "api|auth|login", False),
+    Kind("phone_local", r"[0-9]++(?:[.-][0-9]++)*+", lambda t: t.rlike("[0-9][.-][0-9]"), lambda x: x.rlike(r"^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\z"), 0.4, "phone|telephone|call|tel|fax|mobile", False, "phone"),
+    Kind("id_number", r"[0-9]++(?:[.-][0-9]++)*+", lambda t: t.rlike("[0-9]-[0-9]"), lambda x: x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), 0.4, "ssn|social security|tax|insurance", False, "phone"),
 )
 
 
@@ -144,8 +150,11 @@ def _spans(kind: Kind, text: Column) -> Column:
 
     def span(x: Column, end: Column) -> Column:
         start = end - F.length(x)
-        near = F.lower(F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.lit(NEAR) + F.length(x) + NEAR))
-        score = F.when(near.rlike(kind.context), F.lit(min(1.0, kind.score + 0.2))).otherwise(F.lit(kind.score))
+        # one more code point on each side tells whether the outermost words are whole
+        first = F.greatest(start - NEAR - 1, F.lit(0))
+        left = F.lpad(F.substr(text, first + 1, start - first), NEAR + 1, " ")
+        near = F.lower(F.concat(left, F.lit(" "), F.rpad(F.substr(text, end + 1, F.lit(NEAR + 1)), NEAR + 1, " ")))
+        score = F.when(near.rlike(f"[^a-z](?:{kind.context})s?[^a-z]"), F.lit(min(1.0, kind.score + NEAR_SCORE))).otherwise(F.lit(kind.score))
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x.alias("text"), score.alias("score"))
 
     def of(own: Column) -> Column:
@@ -219,7 +228,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
         between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(F.regexp_replace(s["kind"], "_run$", "")), F.lit("]"))
+        mark = F.concat(F.lit("["), F.upper(F.regexp_replace(s["kind"], "_(run|local)$", "")), F.lit("]"))
         out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], between, mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 

@@ -8,7 +8,9 @@ import re
 import string
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import decontam, suffix_dedup
@@ -16,6 +18,7 @@ from strandlake.llm.bpe import encode_documents
 from strandlake.llm.compaction import CommitConflict, ShardSet, shard_documents
 from strandlake.llm.elias_fano import EliasFano
 from strandlake.llm.near_dedup import drop_near_duplicates, near_duplicates
+from strandlake.llm.oracles import pii_sql
 from strandlake.llm.pii import KINDS, find_pii, pii_digest, redact_pii
 from strandlake.llm.quality_model import FEATURES, drop_low_quality, fit_quality, score_quality, statistics
 from strandlake.llm.quality_rules import quality_rules
@@ -291,6 +294,42 @@ def test_account_numbers_and_secrets_end_where_they_end(spark):
     assert clean[1] == "pay [IBAN] Call me" and clean[4] == "[IBAN] [IBAN] [IBAN] X"
 
 
+def test_words_nearby_decide_weak_numbers_and_sql_agrees(spark):
+    number = "555-713-7713"
+    texts = {
+        f"call {number}.": [f"phone_local:{number}"],
+        f"hotel {number}, toll {number}": [],
+        f"Tel: 555.713.7713, {'x ' * 30}{number}": ["phone_local:555.713.7713"],
+        "SSN 078-05-1120": ["id_number:078-05-1120"],
+        "my Social\tsocial security number 078-05-1120": ["id_number:078-05-1120"],
+        "078-05-1120 alone": [],
+        f"phone +1 {number}": [f"phone:+1 {number}"],
+        f"phone 1.{number} 078-05-1120": [],
+        # a word counts when all of it stands within 40 code points, and not when it goes on beyond them
+        "mobile" + " " * 34 + number: [f"phone_local:{number}"],
+        "mobile" + " " * 35 + number: [],
+        "xtel" + " " * 37 + number: [],
+        number + " " * 37 + "fax": [f"phone_local:{number}"],
+        number + " " * 37 + "faxes": [],
+        f"éè phones {number} ü {number}": [f"phone_local:{number}"] * 2,
+        "ES91 2100 0418 4502 0005 1332 In May BE68 5390 0754 7034": ["iban:ES91 2100 0418 4502 0005 1332", "iban:BE68 5390 0754 7034"],
+        "DE89 3704 0044 0532 0130 00 DE89370400440532013000": ["iban:DE89 3704 0044 0532 0130 00", "iban:DE89370400440532013000"],
+        "BE68 5390 0754 7034 Call xxGB82 WEST 1234 5698 7654 32": ["iban:BE68 5390 0754 7034", "iban:GB82 WEST 1234 5698 7654 32"],
+        "": [],
+    }
+    rows = [*enumerate(texts), (len(texts), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_pii(table).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [f"{s['kind']}:{s['text']}" for s in got[i]] == want, text
+        assert all(text[s["start"] : s["end"]] == s["text"] for s in got[i]), text
+    assert {r.doc_id: r.text for r in redact_pii(table).collect()}[0] == "call [PHONE]."
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}))
+    found = con.sql(pii_sql())
+    assert rows_of(pii_digest(table), *found.columns) == sorted(found.fetchall(), key=repr)
+
+
 def test_quality_rules(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in quality_rules(docs).collect()}
     for i, t in TEXTS:
