@@ -8,12 +8,94 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.blocks import BATCH, Kernel
 from strandlake.functions.hashing import primes_near, unsigned_key, unsigned_mod
+from strandlake.tables import ship_package, stored
+
+#: Bins that a task holds one by one; stores of more are added up by shuffles.
+DENSE = 1 << 25
+#: Keys of a mask that is sent to all tasks.
+MASK = 1 << 20
+#: Bins of a row in which a task hands its own on.
+_PART = 1 << 12
+
+
+def dense_sums(rows: DataFrame, size: int, place: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], counted: bool, made: Kernel | None = None) -> DataFrame:
+    """(place, count) of the bins 0..size-1 that were hit; ``counted``: how often, else 1.
+
+    place: (bins, their weights or None) of a batch.  Each task adds up its own
+    and hands on parts of the whole, as many as there are bins however many rows
+    it read; parts are then added up.  made: an Arrow kernel that makes what
+    ``place`` takes from the rows, run in the same task.
+    """
+    ship_package(rows)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(-(-size // _PART) * _PART, np.int64 if counted else bool)
+        for batch in made(batches) if made else batches:
+            for at, weight in place(batch):
+                if not counted:
+                    held[at] = True
+                elif weight is not None:
+                    np.add.at(held, at, weight)
+                elif len(at) > len(held) // 8:
+                    held += np.bincount(at, minlength=len(held))
+                else:
+                    np.add.at(held, at, 1)
+        table = held.reshape(-1, _PART)
+        for part in np.flatnonzero(table.any(axis=1)):
+            top = int(table[part].max())
+            data = table[part].astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8") if counted else np.packbits(table[part])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if counted:
+                    more = np.frombuffer(data, f"<u{len(data) // _PART}").astype(np.int64)
+                    held[part] = held[part] + more if part in held else more
+                else:
+                    more = np.frombuffer(data, np.uint8)
+                    held[part] = held[part] | more if part in held else more
+        for part, data in held.items():
+            if not counted:
+                data = np.unpackbits(data)
+            hit = np.flatnonzero(data)
+            yield pa.RecordBatch.from_arrays([pa.array(part * _PART + hit), pa.array(data[hit].astype(np.int64))], names=["place", "count"])
+
+    n = min(-(-size // _PART), max(rows.sparkSession.sparkContext.defaultParallelism, size // (1 << 20)))
+    return rows.mapInArrow(own, "part int, data binary").repartition(n, "part").mapInArrow(total, "place long, count long")
+
+
+def _dense_bins(hashes: DataFrame, sizes: list[int], key: str, counted: bool, weight: str | None, made: Kernel | None) -> DataFrame:
+    """(tab, bin, count) of tables of ``sizes``, by ``dense_sums``."""
+    edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+
+    def place(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        h, w = batch.column(key), None if weight is None else np.asarray(batch.column(weight)).astype(np.int64)
+        if h.null_count:
+            known = np.asarray(h.is_valid())
+            h, w = h.drop_null(), None if w is None else w[known]
+        h = np.asarray(h).view(np.uint64)
+        for edge, p in zip(edges, sizes, strict=False):
+            yield (h % np.uint64(p)).astype(np.int64) + edge, w
+
+    rows = hashes if made else hashes.select(key, *([weight] if weight else []))
+    out = dense_sums(rows, edges[-1], place, counted, made)
+    tab = F.lit(0)
+    start = F.lit(0).cast("long")
+    for i, edge in enumerate(edges[1:-1], 1):
+        tab, start = F.when(F.col("place") >= edge, F.lit(i)).otherwise(tab), F.when(F.col("place") >= edge, F.lit(edge).cast("long")).otherwise(start)
+    return out.select(tab.alias("tab"), (F.col("place") - start).alias("bin"), "count")
 
 
 def exact_counts(hashes: DataFrame, key: str = "h", weight: str | None = None) -> DataFrame:
@@ -30,8 +112,13 @@ def query(store: DataFrame, hashes: DataFrame, key: str = "h") -> DataFrame:
     return hashes.join(store, key, "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def masked(store: DataFrame, mask: DataFrame, key: str = "h") -> DataFrame:
-    return store.join(mask.select(key).distinct(), key, "left_anti")
+def masked(store: DataFrame, mask: DataFrame, key: str = "h", bounded: bool = False) -> DataFrame:
+    """Rows of a store without the mask's; bounded: the mask is written first, and goes to all tasks, which then need no shuffle of the store, if it has at most MASK keys."""
+    gone = mask.select(key).distinct()
+    if bounded:
+        gone = stored(gone, "mask")
+        gone = F.broadcast(gone) if gone.count() <= MASK else gone
+    return store.join(gone, key, "left_anti")
 
 
 def _bins(hashes: DataFrame, sizes: list[int], key: str) -> DataFrame:
@@ -43,8 +130,11 @@ def table_sizes(table_size: int, n_tables: int) -> list[int]:
     return primes_near(n_tables, table_size)
 
 
-def bloom(hashes: DataFrame, sizes: list[int], key: str = "h") -> DataFrame:
-    """Occupied bins (tab, bin); hashes are made distinct before each is dealt to all tables."""
+def bloom(hashes: DataFrame, sizes: list[int], key: str = "h", made: Kernel | None = None) -> DataFrame:
+    """Occupied bins (tab, bin).  made: an Arrow kernel that makes hashes of the rows, run in the same task; tables of up to DENSE bins then need no shuffle of hashes."""
+    if sum(sizes) <= DENSE:
+        return _dense_bins(hashes, sizes, key, False, None, made).select("tab", "bin")
+    hashes = hashes.mapInArrow(made, f"`{key}` long") if made else hashes
     return _bins(hashes.select(key).distinct(), sizes, key).select("tab", "bin").distinct()
 
 
@@ -58,8 +148,11 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def count_min(hashes: DataFrame, sizes: list[int], cap: int = 255, key: str = "h", weight: str | None = None) -> DataFrame:
-    """(tab, bin, count): increments per bin up to ``cap`` (255 for bytes, 15 for nibbles, 65,535 with big counts)."""
+def count_min(hashes: DataFrame, sizes: list[int], cap: int = 255, key: str = "h", weight: str | None = None, made: Kernel | None = None) -> DataFrame:
+    """(tab, bin, count): increments per bin up to ``cap`` (255 for bytes, 15 for nibbles, 65,535 with big counts).  made: as for ``bloom``."""
+    if sum(sizes) <= DENSE:
+        return _dense_bins(hashes, sizes, key, True, weight, made).select("tab", "bin", F.least("count", F.lit(cap)).cast("int").alias("count"))
+    hashes = hashes.mapInArrow(made, f"`{key}` long") if made else hashes
     counts = exact_counts(hashes, key, weight)
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), unsigned_mod(F.col(key), p).alias("bin")) for i, p in enumerate(sizes)])
     rows = counts.select("count", F.explode(tables).alias("b")).select("b.tab", "b.bin", "count")
@@ -72,8 +165,11 @@ def count_min_query(store: DataFrame, hashes: DataFrame, sizes: list[int], key:
     return hits.groupBy(key).agg(F.min(F.coalesce("count", F.lit(0))).alias("count"))
 
 
-def quotient_counts(hashes: DataFrame, size: int, key: str = "h", weight: str | None = None) -> DataFrame:
-    """(slot, count) of a counting quotient filter with 2**size slots and 8 remainder bits."""
+def quotient_counts(hashes: DataFrame, size: int, key: str = "h", weight: str | None = None, made: Kernel | None = None) -> DataFrame:
+    """(slot, count) of a counting quotient filter with 2**size slots and 8 remainder bits.  made: as for ``bloom``."""
+    if 1 << (size + 8) <= DENSE:
+        return _dense_bins(hashes, [1 << (size + 8)], key, True, weight, made).select(F.col("bin").alias("slot"), "count")
+    hashes = hashes.mapInArrow(made, f"`{key}` long") if made else hashes
     slot = F.col(key).bitwiseAND(F.lit((1 << (size + 8)) - 1)).alias("slot")
     return hashes.groupBy(slot).agg((F.count("*") if weight is None else F.sum(weight)).alias("count"))
 

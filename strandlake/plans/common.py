@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.blocks import counted_kmers
 from strandlake.kmers import kmer_text, packed_kmers
 from strandlake.operators import sketch, stores
 from strandlake.plans.projection import READS_SQL, reads
@@ -42,8 +43,9 @@ def packed(spark: SparkSession, sf_dir: str, k: int = K, canonical: bool = False
     return packed_kmers(reads(spark, sf_dir), k, canonical=canonical)
 
 
-def counted(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return stores.exact_counts(packed(spark, sf_dir, k), "kmer")
+def counted(spark: SparkSession, sf_dir: str, k: int = K, canonical: bool = False, least: int = 1) -> DataFrame:
+    """(kmer, count) of all documents' reads."""
+    return counted_kmers(reads(spark, sf_dir), k, canonical, least)
 
 
 def hashed(rows: DataFrame, k: int = K, *keep: str) -> DataFrame:
@@ -56,6 +58,10 @@ def hash_counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return hashed(counted(spark, sf_dir, k), k, "count")
 
 
+#: Arrow kernel: reads -> hashes of all their k-mers, for stores and sketches that are built where reads are read.
+HASHES = sketch.kmer_hashes(K)
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(packed_kmers(items(spark, sf_dir), K).select("kmer").distinct())
 
