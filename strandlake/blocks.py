@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandlake.arrays import flat, ranges, slices
 from strandlake.kmers import PACKED_K, pack, pack_reverse, window_codes
@@ -69,8 +70,9 @@ def unmixed(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def buckets_of(rows: DataFrame) -> int:
-    """A power of two: buckets among which the k-mers of ``rows`` are dealt, by the plan's size of the scan."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
+    """A power of two: buckets among which the k-mers of ``rows`` are dealt, by the size of the tables that are scanned."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())).bit_length()
     # a plan without files has no size
     return 64 if size > 50 else 1 << max(4, min(size + 1 - BLOCK.bit_length(), 14))
 
@@ -156,6 +158,74 @@ def counted_kmers(reads: DataFrame, k: int, canonical: bool = False, least: int
     return dealt.mapInArrow(merge, "kmer long, count long")
 
 
+def counted_hashes(rows: DataFrame, made: Kernel, by: str | None = None, block: int | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(partition, h, count), with ``by`` also (by): how often each hash is found, in each group ``by``.
+
+    made: an Arrow kernel that makes (by, partition, h) from the rows; rows
+    without a partition are left out, and a hash has one partition.
+    """
+    ship_package(rows)
+    block, n_buckets = block or BLOCK, n_buckets or buckets_of(rows)
+    kind = dict(rows.dtypes)[by] if by else "int"
+    arrow = pa.schema(to_arrow_schema(rows.select(by).schema)).field(0).type if by else pa.int32()
+
+    def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        h = mixed(np.asarray(table.column("h")), 64)
+        part = np.asarray(table.column("partition"))
+        names = table.column("by").combine_chunks().dictionary_encode("encode") if by else None
+        code = np.asarray(names.indices) if by else None
+        buckets, groups, blobs = [], [], ([], [], [])
+        for g in range(len(names.dictionary)) if by else (0,):
+            own = h if code is None else h[code == g]
+            owned = part if code is None else part[code == g]
+            order = np.argsort(own)
+            own, owned = own[order], owned[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(own)))
+            own, owned = own[first], owned[first]
+            at = _dealt(own, 64, n_buckets)
+            for b in np.flatnonzero(np.diff(at)):
+                p = slice(at[b], at[b + 1])
+                buckets.append(b)
+                groups.append(g)
+                for blob, data in zip(blobs, (encoded_sorted(own[p]), encoded(owned[p]), encoded(counts[p] - 1)), strict=True):
+                    blob.append(data)
+        name = names.dictionary.take(pa.array(groups, pa.int32())) if by else pa.array(groups, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), name.cast(arrow), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "by", "keys", "parts", "counts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in made(batches):
+            own = batch.select([*([by] if by else []), "partition", "h"]).filter(batch.column("partition").is_valid())
+            if by:
+                own = own.rename_columns(["by", "partition", "h"])
+            held.append(own)
+            size += own.num_rows
+            if size >= block:
+                yield emit(held)
+                held, size = [], 0
+        if size:
+            yield emit(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, name), blobs in grouped(batches, ("bucket", "by")):
+            keys = np.concatenate([decoded_sorted(r["keys"]) for r in blobs])
+            part, counts = (np.concatenate([decoded(r[c]) for r in blobs]) for c in ("parts", "counts"))
+            order = np.argsort(keys)
+            keys, part, counts = keys[order], part[order], counts[order] + 1
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, part, counts = unmixed(keys[first], 64), part[first], np.add.reduceat(counts, first)
+            for i in range(0, len(keys), BATCH):
+                cut = slice(i, i + BATCH)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys[cut]), arrow), pa.array(part[cut]), pa.array(keys[cut]), pa.array(counts[cut])], names=["by", "partition", "h", "count"])
+
+    dealt = rows.mapInArrow(deal, f"bucket int, by {kind}, keys binary, parts binary, counts binary")
+    dealt = dealt.repartition(partitions_of(rows, n_buckets), "bucket").sortWithinPartitions("bucket", "by")
+    out = dealt.mapInArrow(merge, f"by {kind}, partition long, h long, count long")
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows, as dicts, of each run of equal ``keys``."""
     at, held = None, []

@@ -102,6 +102,23 @@ def hash_expression(kmer: Column, k: int) -> Column:
     return F.aggregate(F.split(F.substring(kmer, 1, k), ""), F.lit(0).cast("long"), step)
 
 
+def packed_hash_expression(kmer: Column, k: int) -> Column:
+    """Forward hash of a packed k-mer by built-in functions alone: each four symbols are looked up in a table of their part of it."""
+    out = None
+    for first in range(0, k, 4):
+        n = min(4, k - first)
+        table = []
+        for code in range(4**n):
+            h = 0
+            for i in range(n):
+                x, by = SYMBOL_HASH["ACGT"[code >> 2 * (n - 1 - i) & 3]], (k - 1 - first - i) % 64
+                h ^= (x << by | x >> (64 - by)) & ((1 << 64) - 1)
+            table.append(h - (1 << 64) if h >> 63 else h)
+        own = F.get(F.lit(table), F.shiftrightunsigned(kmer, 2 * (k - first - n)).bitwiseAND(F.lit(4**n - 1)).cast("int"))
+        out = own if out is None else out.bitwiseXOR(own)
+    return out
+
+
 def extensions(kmer: Column, side: str) -> Column:
     """Array of (symbol, kmer) of the four neighbours on one side."""
 

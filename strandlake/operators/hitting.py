@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.arrays import flat, slices, window_starts
+from strandlake.blocks import Kernel
 from strandlake.functions.hashing import sequence_hashes
 from strandlake.kmers import SYMBOLS
 from strandlake.tables import ship_package
@@ -81,7 +82,7 @@ def n_rotation_classes(k: int) -> int:
     return sum(4 ** math.gcd(i, k) for i in range(k)) // k
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` values in a row."""
     out, span = values, 1
     while span * 2 <= width:
@@ -96,6 +97,12 @@ def wmers(reads: DataFrame, w: int, k: int, hits: DataFrame, canonical: bool = F
 
     A w-mer that holds none has a null minimizer and partition.
     """
+    kinds = dict(reads.dtypes)
+    return reads.select(*keep, "sequence").mapInArrow(wmer_kernel(reads, w, k, hits, canonical, keep), "".join(f"`{c}` {kinds[c]}, " for c in keep) + "pos long, h long, minimizer long, partition long")
+
+
+def wmer_kernel(reads: DataFrame, w: int, k: int, hits: DataFrame, canonical: bool = False, keep: tuple[str, ...] = ("seq_no",)) -> Kernel:
+    """The Arrow kernel of ``wmers``."""
     if w < k:
         raise ValueError("w must be at least k")
     ship_package(reads)
@@ -121,7 +128,7 @@ def wmers(reads: DataFrame, w: int, k: int, hits: DataFrame, canonical: bool = F
                 inside = rank < len(known)
                 hit = np.zeros(len(h), bool)
                 hit[inside] = known[rank[inside].astype(np.int64)] == h[inside]
-                least = _sliding_min(np.where(hit, rank, none), w - k + 1)[start]
+                least = sliding_min(np.where(hit, rank, none), w - k + 1)[start]
                 found = least != none
                 place = np.where(found, least, 0).astype(np.int64)
                 wide_fw, wide_rc = sequence_hashes(data, w)
@@ -134,8 +141,7 @@ def wmers(reads: DataFrame, w: int, k: int, hits: DataFrame, canonical: bool = F
                     names=[*keep, "pos", "h", "minimizer", "partition"],
                 )
 
-    kinds = dict(reads.dtypes)
-    return reads.select(*keep, "sequence").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "pos long, h long, minimizer long, partition long")
+    return run
 
 
 def neighbour_wmers(kmers: DataFrame, w: int, k: int, hits: DataFrame, side: str = "right", canonical: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandlake.arrays import flat, slices
-from strandlake.blocks import Kernel
+from strandlake.blocks import Kernel, counted_hashes
 from strandlake.functions.hashing import max_hash_for_scaled, unsigned_key
 from strandlake.functions.md5 import window_md5
 from strandlake.kmers import window_codes
@@ -253,7 +253,15 @@ def prefix_similarities(kmers: DataFrame, tick: str, n: int, key: str = "h", mad
 
 def partition_sketch(wmers: DataFrame, n_partitions: int, by: str, key: str = "h", partition: str = "partition") -> DataFrame:
     """(by, sketch): dense array of distinct w-mers per minimizer partition."""
-    counts = wmers.groupBy(by, partition).agg(F.countDistinct(key).alias("n"))
+    return _dense_sketch(wmers.groupBy(by, partition).agg(F.countDistinct(key).alias("n")), n_partitions, by, partition)
+
+
+def partition_sketch_of(reads: DataFrame, wmers: Kernel, n_partitions: int, by: str) -> DataFrame:
+    """As ``partition_sketch``, of reads that carry ``by`` and the kernel of their w-mers: distinct ones are found in blocks."""
+    return _dense_sketch(counted_hashes(reads, wmers, by).groupBy(by, "partition").agg(F.count("*").alias("n")), n_partitions, by, "partition")
+
+
+def _dense_sketch(counts: DataFrame, n_partitions: int, by: str, partition: str) -> DataFrame:
     found = counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(partition, "n"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(n_partitions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0).cast("long")))
     return found.select(by, dense.alias("sketch"))

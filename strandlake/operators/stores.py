@@ -13,14 +13,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.blocks import BATCH, Kernel
+from strandlake.blocks import Kernel, counted_hashes
 from strandlake.functions.hashing import primes_near, unsigned_key, unsigned_mod
 from strandlake.tables import ship_package, stored
 
-#: Bins that a task holds one by one; stores of more are added up by shuffles.
+#: Bits, or twice the counts, that a task holds one by one; stores of more are added up by shuffles.
 DENSE = 1 << 25
 #: Keys of a mask that is sent to all tasks.
 MASK = 1 << 20
@@ -150,7 +151,7 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def count_min(hashes: DataFrame, sizes: list[int], cap: int = 255, key: str = "h", weight: str | None = None, made: Kernel | None = None) -> DataFrame:
     """(tab, bin, count): increments per bin up to ``cap`` (255 for bytes, 15 for nibbles, 65,535 with big counts).  made: as for ``bloom``."""
-    if sum(sizes) <= DENSE:
+    if sum(sizes) <= DENSE // 2:
         return _dense_bins(hashes, sizes, key, True, weight, made).select("tab", "bin", F.least("count", F.lit(cap)).cast("int").alias("count"))
     hashes = hashes.mapInArrow(made, f"`{key}` long") if made else hashes
     counts = exact_counts(hashes, key, weight)
@@ -167,7 +168,7 @@ def count_min_query(store: DataFrame, hashes: DataFrame, sizes: list[int], key:
 
 def quotient_counts(hashes: DataFrame, size: int, key: str = "h", weight: str | None = None, made: Kernel | None = None) -> DataFrame:
     """(slot, count) of a counting quotient filter with 2**size slots and 8 remainder bits.  made: as for ``bloom``."""
-    if 1 << (size + 8) <= DENSE:
+    if 1 << (size + 8) <= DENSE // 2:
         return _dense_bins(hashes, [1 << (size + 8)], key, True, weight, made).select(F.col("bin").alias("slot"), "count")
     hashes = hashes.mapInArrow(made, f"`{key}` long") if made else hashes
     slot = F.col(key).bitwiseAND(F.lit((1 << (size + 8)) - 1)).alias("slot")
@@ -201,7 +202,12 @@ def occupancy(store: DataFrame, sizes: list[int]) -> DataFrame:
 def partition_counts(hashes: DataFrame, n_partitions: int, key: str = "h", partition: str = "partition") -> DataFrame:
     """Dense (partition, n_unique) over all partitions 0..n-1."""
     own = hashes.select(partition, key).distinct().groupBy(partition).agg(F.count("*").alias("n_unique"))
-    every = hashes.sparkSession.range(n_partitions).withColumnRenamed("id", partition)
+    return dense_partitions(own, n_partitions, partition)
+
+
+def dense_partitions(own: DataFrame, n_partitions: int, partition: str = "partition") -> DataFrame:
+    """(partition, n_unique) with a row of 0 for each of 0..n-1 that has none."""
+    every = own.sparkSession.range(n_partitions).withColumnRenamed("id", partition)
     return every.join(own, partition, "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
@@ -216,7 +222,15 @@ class Partitioned:
         self.shape, self.n_partitions, self.rows = shape, n_partitions, rows
 
     @classmethod
-    def build(cls, hashes: DataFrame, shape: Shape, n_partitions: int) -> Partitioned:
+    def build(cls, hashes: DataFrame, shape: Shape, n_partitions: int, made: Kernel | None = None) -> Partitioned:
+        """Of (partition, h) rows.  made: an Arrow kernel that makes them, null partitions too, from rows of another kind, run in the same task."""
+        if shape.kind == "exact" and made:
+            return cls(shape, n_partitions, counted_hashes(hashes, made))
+        counted = shape.kind != "bloom"
+        if shape.kind not in ("exact", "cqf") and n_partitions * sum(shape.sizes) <= (DENSE // 2 if counted else DENSE):
+            return cls(shape, n_partitions, cls._dense(hashes, shape, n_partitions, counted, made))
+        if made:
+            hashes = hashes.mapInArrow(lambda batches: (b.select(["partition", "h"]) for b in made(batches)), "partition long, h long").where("partition is not null")
         counts = hashes.groupBy("partition", "h").agg(F.count("*").alias("count"))
         if shape.kind == "exact":
             return cls(shape, n_partitions, counts)
@@ -227,6 +241,33 @@ class Partitioned:
         cap = 1 if shape.kind == "bloom" else CAPS[shape.kind]
         return cls(shape, n_partitions, bins.agg(F.least(F.sum("count"), F.lit(cap)).cast("int").alias("count")))
 
+    @staticmethod
+    def _dense(hashes: DataFrame, shape: Shape, n_partitions: int, counted: bool, made: Kernel | None) -> DataFrame:
+        """(partition, tab, bin, count) by ``dense_sums``: a table after the other, and in it a partition after the other."""
+        edges = (n_partitions * np.concatenate(([0], np.cumsum(shape.sizes)))).tolist()
+        sizes = list(shape.sizes)
+
+        def place(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+            known = np.asarray(pc.and_(batch.column("partition").is_valid(), batch.column("h").is_valid()))
+            part, h = (np.asarray(batch.column(c).filter(pa.array(known))).astype(np.int64) for c in ("partition", "h"))
+            for edge, p in zip(edges, sizes, strict=False):
+                yield edge + part * p + (h.view(np.uint64) % np.uint64(p)).astype(np.int64), None
+
+        out = dense_sums(hashes if made else hashes.select("partition", "h"), edges[-1], place, counted, made)
+        at = F.col("place")
+        cells = F.struct(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("edge"), F.lit(sizes[0]).alias("size"))
+        for i in range(1, len(sizes)):
+            cells = F.when(at >= edges[i], F.struct(F.lit(i).alias("tab"), F.lit(edges[i]).cast("long").alias("edge"), F.lit(sizes[i]).alias("size"))).otherwise(cells)
+        rows = out.withColumn("c", cells).withColumn("o", at - F.col("c.edge"))
+        cap = CAPS.get(shape.kind, 1)
+        return rows.select(F.floor(F.col("o") / F.col("c.size")).alias("partition"), "c.tab", (F.col("o") % F.col("c.size")).alias("bin"), F.least("count", F.lit(cap)).cast("int").alias("count"))
+
+    def own(self) -> DataFrame:
+        """(partition, h, count) of all that an exact store holds: what ``query`` says of the rows it was built of."""
+        if self.shape.kind != "exact":
+            raise ValueError("only an exact store lists what it holds")
+        return self.rows.select("partition", "h", "count")
+
     @staticmethod
     def _bins(rows: DataFrame, shape: Shape, *keep: str) -> DataFrame:
         tables = F.array(*[F.struct(F.lit(i).alias("tab"), unsigned_mod(F.col("h"), p).alias("bin")) for i, p in enumerate(shape.sizes)])

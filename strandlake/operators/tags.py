@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.tables import Relay
+from strandlake.arrays import flat, slices
+from strandlake.kmers import pack, window_codes
+from strandlake.operators.hitting import MOST, sliding_min
+from strandlake.tables import Relay, ship_package
 
 
 def hitting_set(rows: DataFrame, kmer: str = "kmer", order: str = "ord") -> DataFrame:
@@ -15,6 +23,65 @@ def hitting_set(rows: DataFrame, kmer: str = "kmer", order: str = "ord") -> Data
     return first.select("kmer", (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("partition"))
 
 
+def first_places(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, ord) of packed short k-mers (k up to 10): the first place (seq_no, pos) of each in some letters of the reads; ``hitting_set`` takes the first of those."""
+    if not 1 <= k <= 10:
+        raise ValueError("k must be from 1 to 10")
+    ship_package(reads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at, piece, offset in slices(*flat(batch.column("sequence")), k - 1):
+                codes, start, row = window_codes(data, at, k)
+                if not len(start):
+                    continue
+                own = batch.column("seq_no").take(pa.array(piece))
+                order = np.asarray(pc.sort_indices(own)).astype(np.int64)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                first = np.full(1 << 2 * k, np.iinfo(np.int64).max)
+                np.minimum.at(first, pack(codes, k)[start], (rank[row] << 32) | (start - at[row] + offset[row]))
+                hit = np.flatnonzero(first != np.iinfo(np.int64).max)
+                place = first[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(hit), own.take(pa.array(order[place >> 32])), pa.array(place & 0xFFFFFFFF)], names=["kmer", "seq_no", "pos"])
+
+    rows = reads.select("seq_no", "sequence").mapInArrow(run, f"kmer long, seq_no {dict(reads.dtypes)['seq_no']}, pos long")
+    return rows.select("kmer", F.struct("seq_no", "pos").alias("ord"))
+
+
+def tags_of_reads(reads: DataFrame, hits: DataFrame, w: int, k: int) -> DataFrame:
+    """As ``tags`` of ``window_minimizers``, for a bounded set of packed k-mers that goes to all tasks: windows slide where reads are read."""
+    ship_package(reads)
+    listed = hits.select("kmer", "partition").limit(MOST + 1).collect()
+    if len(listed) > MOST:
+        raise ValueError("a hitting set that is sent to all tasks is bounded")
+    pairs = sorted((r.kmer, r.partition) for r in listed)
+    shared = reads.sparkSession.sparkContext.broadcast((np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = shared.value
+        none = len(known)
+        for batch in batches:
+            # a tag is two w-mers, so a piece shares w symbols with the next
+            for data, at, piece, offset in slices(*flat(batch.column("sequence")), w):
+                codes, start, row = window_codes(data, at, w + 1)
+                if not len(start) or not none:
+                    continue
+                keys = pack(codes, k)
+                rank = np.searchsorted(known, keys)
+                rank[known[np.minimum(rank, none - 1)] != keys] = none
+                least = sliding_min(rank, w - k + 1)
+                left, right = least[start], least[start + 1]
+                tag = (left != right) & (left < none) & (right < none)
+                tag[tag] = part[left[tag]] != part[right[tag]]
+                start, row, left, right = start[tag], row[tag], left[tag], right[tag]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("seq_no").take(pa.array(piece[row])), pa.array(start - at[row] + offset[row]), pa.array(part[left]), pa.array(part[right])], names=["seq_no", "pos", "left_partition", "right_partition"]
+                )
+
+    return reads.select("seq_no", "sequence").mapInArrow(run, f"seq_no {dict(reads.dtypes)['seq_no']}, pos long, left_partition long, right_partition long")
+
+
 def window_minimizers(kmers: DataFrame, hits: DataFrame, w: int, k: int) -> DataFrame:
     """(seq_no, pos, kmer, partition): for each w-mer start, the least k-mer of the set inside it.
 

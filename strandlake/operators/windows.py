@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.hashing import hashed_kmers, unsigned_key, unsigned_text
+from strandlake.arrays import flat, slices, window_starts
+from strandlake.functions.hashing import sequence_hashes, unsigned_text
+from strandlake.tables import ship_package
 
 
 def rolling_min(df: DataFrame, value: str, order: str, w: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -90,14 +93,50 @@ def applied(df: DataFrame, value: str, order: str, w: int, function: Callable[[n
     return df.groupBy(by).applyInPandas(run, f"{kinds}, stat double")
 
 
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of every ``width`` values in a row, of equal ones the first."""
+    at, span = np.arange(len(values)), 1
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
+    while span * 2 <= width:
+        at = better(at[:-span], at[span:])
+        span *= 2
+    rest = width - span
+    return better(at[: len(at) - rest], at[rest:]) if rest else at
+
+
 def kmer_minimizers(reads: DataFrame, w: int, k: int, canonical: bool = False) -> DataFrame:
-    """(seq_no, pos, h, kmer): the least-hashing of every w k-mers in a row, each place once; of equal hashes the earliest."""
-    hashes = hashed_kmers(reads, k).select("seq_no", "pos", (F.col("h") if canonical else F.col("fw")).alias("h"))
-    frame = Window.partitionBy("seq_no").orderBy("pos").rowsBetween(1 - w, 0)
-    least = F.min(F.struct(unsigned_key(F.col("h")).alias("o"), "pos", "h")).over(frame)
-    rows = hashes.select("seq_no", "pos", least.alias("m")).where(F.col("pos") >= w - 1).select("seq_no", "m.pos", "m.h").distinct()
-    text = F.substr("sequence", F.col("pos").cast("int") + 1, F.lit(k))
-    return rows.join(reads.select("seq_no", "sequence"), "seq_no").select("seq_no", "pos", unsigned_text(F.col("h")).alias("h"), text.alias("kmer"))
+    """(seq_no, pos, h, kmer): the least-hashing of every w k-mers in a row, each place once; of equal hashes the earliest.
+
+    Windows slide within the task that reads the sequences; nothing is shuffled.
+    """
+    ship_package(reads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = (-1, -1)
+            for data, at, piece, offset in slices(*flat(batch.column("sequence")), w + k - 2):
+                start, row = window_starts(at, w + k - 1)
+                if not len(start):
+                    continue
+                fw, rc = sequence_hashes(data, k)
+                h = np.minimum(fw, rc) if canonical else fw
+                found = _least_places(h, w)[start]
+                # places do not go back within a read, so repeats are neighbours, also where a long read is cut
+                new = np.concatenate(([(piece[row[0]], found[0] - at[row[0]] + offset[row[0]]) != last], found[1:] != found[:-1]))
+                found, row = found[new], row[new]
+                if not len(found):
+                    continue
+                pos = found - at[row] + offset[row]
+                last = (piece[row[-1]], pos[-1])
+                text = np.ascontiguousarray(data[found[:, None] + np.arange(k)])
+                texts = pa.StringArray.from_buffers(len(found), pa.py_buffer((np.arange(len(found) + 1) * k).astype(np.int32)), pa.py_buffer(text))
+                yield pa.RecordBatch.from_arrays([batch.column("seq_no").take(pa.array(piece[row])), pa.array(pos), pa.array(h[found].view(np.int64)), texts], names=["seq_no", "pos", "h", "kmer"])
+
+    rows = reads.select("seq_no", "sequence").mapInArrow(run, f"seq_no {dict(reads.dtypes)['seq_no']}, pos long, h long, kmer string")
+    return rows.select("seq_no", "pos", unsigned_text(F.col("h")).alias("h"), "kmer")
 
 
 def pairwise(df: DataFrame, value: str, order: str, f: Callable[[Column, Column], Column], by: tuple[str, ...] = (), step: int = 1) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import hashing, murmur, protein
 from strandlake.functions.alphabet import ANY, DNA, DNAN, IUPAC
-from strandlake.functions.hashing import hash_expression, hashed_kmers, unsigned_min, unsigned_text
+from strandlake.functions.hashing import hash_expression, hashed_kmers, packed_hash_expression, unsigned_min, unsigned_text
 from strandlake.kmers import kmer_text, packed_kmers
 from strandlake.operators import filters, stores
 from strandlake.plans.common import COUNTED_SQL, K, RC_SQL, RUNNING_SQL, counted, hash_sql, items, kmers_sql, packed, query, table
@@ -77,7 +77,7 @@ def probe_hashes(spark, sf_dir):
 
 @query(f"""with {kmers_sql(27)} select seq_no, count(*)::bigint as n, bit_xor({hash_sql("kmer")})::varchar as all_fw from k group by seq_no""")
 def cyclic_hash_expression(spark, sf_dir):
-    rows = packed(spark, sf_dir, 27).select("seq_no", hash_expression(kmer_text(F.col("kmer"), 27), 27).alias("fw"))
+    rows = packed(spark, sf_dir, 27).select("seq_no", packed_hash_expression(F.col("kmer"), 27).alias("fw"))
     return rows.groupBy("seq_no").agg(F.count("*").alias("n"), unsigned_text(F.bit_xor("fw")).alias("all_fw"))
 
 

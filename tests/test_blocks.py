@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake import blocks
+from strandlake.arrays import SLICE
 from strandlake.blocks import counted_kmers
+from strandlake.functions.hashing import hash_expression, packed_hash_expression, sequence_hashes
 from strandlake.functions.md5 import window_md5
-from strandlake.kmers import kmer_text
-from strandlake.operators import filters, sketch, stores
+from strandlake.kmers import kmer_text, packed_kmers
+from strandlake.operators import filters, hitting, sketch, stores, tags, windows
 from strandlake.plans.registry import QUERIES
 from test_graphs import frame
 
@@ -133,6 +135,64 @@ def test_stores_of_reads(spark):
         assert rows(stores.quotient_counts(df, size, made=made)) == rows(stores.quotient_counts(weighted, size, weight="n")) == set(want.items())
 
 
+@pytest.mark.parametrize("canonical", [False, True])
+def test_minimizers_of_long_reads(spark, canonical):
+    """Windows over the places at which a long read is cut, and reads shorter than a window."""
+    w, k, r = 5, 7, random.Random(2)
+    texts = ["".join(r.choices("ACGT", k=n)) for n in (0, 6, 10, 11, 12, 300)] + ["AC" * 30, "".join(r.choices("ACGT", k=SLICE + 500))]
+    want = set()
+    for n, t in enumerate(texts):
+        fw, rc = sequence_hashes(np.frombuffer(t.encode(), np.uint8), k)
+        value = np.minimum(fw, rc) if canonical else fw
+        for i in range(len(value) - w + 1):
+            if n < len(texts) - 1 or abs(i - SLICE) < 400:
+                at = i + int(value[i : i + w].argmin())
+                want.add((n, at, str(value[at]), t[at : at + k]))
+    got = windows.kmer_minimizers(frame(spark, texts), w, k, canonical)
+    last = len(texts) - 1
+    rows = [tuple(x) for x in got.where(f"seq_no < {last} or abs(pos - {SLICE}) < 390").collect()]
+    assert set(rows) == {x for x in want if x[0] < last or abs(x[1] - SLICE) < 390} and len(rows) == len(set(rows))
+
+
+def test_tags_of_reads(spark):
+    """Tags found where reads are read are those of windows over joined k-mers, also where a long read is cut."""
+    r, k, w = random.Random(4), 4, 9
+    texts = ["".join(r.choices("ACGT", k=n)) for n in (3, 8, 9, 10, 200)] + ["".join(r.choices("ACGT", k=SLICE + 300))]
+    df = frame(spark, texts).repartition(3)
+    hits = tags.hitting_set(tags.first_places(df, k).where(F.col("kmer") < 64))
+    places = [(t[i : i + k], n, i) for n, t in enumerate(texts) for i in range(len(t) - k + 1) if t[i] == "A"]
+    order = list(dict.fromkeys(x for x, _, _ in places))
+    assert [x.t for x in hits.select(kmer_text(F.col("kmer"), k).alias("t"), "partition").orderBy("partition").collect()] == order
+    near = lambda d: d.where(f"seq_no < 5 or abs(pos - {SLICE}) < 200")
+    old = tags.tags(tags.window_minimizers(near(packed_kmers(df, k)), hits, w, k))
+    inner = f"seq_no < 5 or abs(pos - {SLICE}) < 180"
+    rows = lambda d: {tuple(x) for x in d.where(inner).collect()}
+    assert rows(tags.tags_of_reads(df, hits, w, k)) == rows(old)
+
+
+def test_partitions_of_reads(spark, monkeypatch):
+    """Stores by partition and sketches, built where reads are read, against the w-mers' rows."""
+    monkeypatch.setattr(blocks, "BLOCK", 300)
+    df = frame(spark, reads_of(2)).withColumn("source", F.when(F.col("seq_no") % 5 > 0, F.col("seq_no") % 3))
+    hits = hitting.hitting_set(spark, hitting.decycling_set(4), 4)
+    n = hits.agg(F.max("partition") + 1).first()[0]
+    made = hitting.wmer_kernel(df, 12, 4, hits, keep=("source",))
+    rows = hitting.wmers(df, 12, 4, hits, keep=("source",)).where("partition is not null")
+    got = lambda d: {tuple(map(str, x)) for x in d.collect()}
+    for kind, size in (("exact", 99), ("bloom", 99), ("cms4", 99), ("cms4", 20_000_000)):
+        shape = stores.Shape(kind, 12, size, 2)
+        a, b = stores.Partitioned.build(df, shape, n, made), stores.Partitioned.build(rows, shape, n)
+        assert got(a.query(rows)) == got(b.query(rows)) and got(a.report()) == got(b.report())
+    assert got(stores.Partitioned.build(df, stores.Shape("exact", 12), n, made).own()) == got(rows.groupBy("partition", "h").count())
+    assert got(sketch.partition_sketch_of(df, made, n, "source")) == got(sketch.partition_sketch(rows, n, "source"))
+
+
+@pytest.mark.parametrize("k", [1, 4, 7, 27, 31])
+def test_packed_hash_expression(spark, k):
+    df = packed_kmers(frame(spark, reads_of()), k).select("kmer").distinct()
+    assert df.where(packed_hash_expression(F.col("kmer"), k) != hash_expression(kmer_text(F.col("kmer"), k), k)).count() == 0
+
+
 def shuffled(spark, df):
     """Bytes that a query shuffles and spills."""
     store, seen = spark._jsc.sc().statusStore(), spark._jvm
@@ -158,6 +218,7 @@ def texts_dir(spark, tmp_path_factory):
 LIMITS = {
     "bloom_query": 6, "bloom_occupancy": 6, "count_min_bytes": 30, "count_min_nibbles": 30, "count_min_big_counts": 30, "counting_minhash": 4, "sketch_operations": 4, "saturation_curve": 4, "ordered_store": 6,
     "masked_store": 6, "count_vectors": 8, "median_in_range": 8, "median_at_least": 8, "running_counts": 8, "solid_filter": 8, "solid_filter_of_four": 8, "new_segments": 8, "solid_segments": 8, "solid_segment_sequences": 8,
+    "window_minimizers": 4, "minimizer_csv": 12, "partition_tags": 6, "partition_tag_links": 10, "partitioned_store": 12, "partitioned_graph": 15, "partition_signatures": 15, "signature_distances": 15,
 }
 
 
