@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandlake.arrays import flat, ranges, slices
@@ -244,7 +245,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 class Placed:
     """The k-mers of a chunk of reads, in order of reads and places, with what was found of each."""
 
-    def __init__(self, seq_no: np.ndarray, data: np.ndarray, at: np.ndarray, row: np.ndarray, pos: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, seq_no: np.ndarray, data: np.ndarray, at: np.ndarray, row: np.ndarray, pos: np.ndarray, keys: np.ndarray, counts: np.ndarray, names: list | None):
+        self.names = names
         self.seq_no, self.data, self.at, self.row, self.pos, self.keys, self.counts = seq_no, data, at, row, pos, keys, counts
 
     def per_read(self, weights: np.ndarray | None = None) -> np.ndarray:
@@ -272,10 +274,11 @@ class Placed:
         return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(text)).cast(pa.string())
 
 
-def placed_counts(reads: DataFrame, k: int, finish: Callable[[Placed], pa.RecordBatch], schema: str, running: bool = False, block: int | None = None, n_buckets: int | None = None) -> DataFrame:
+def placed_counts(reads: DataFrame, k: int, finish: Callable[[Placed], pa.RecordBatch], schema: str, running: bool = False, named: str | None = None, block: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """``finish`` of every chunk of reads (seq_no, sequence): its k-mers, each with its count in all reads.
 
     running: the count is that of the places up to this one, in order of reads.
+    named: a text column that the chunks keep for each read.
     Chunks are stored, their distinct k-mers dealt to buckets and added up there
     (or summed in order of chunks), and the sums, in the order of a chunk's
     k-mers, sent back to it.  No k-mer travels with its places, so neither a
@@ -299,9 +302,10 @@ def placed_counts(reads: DataFrame, k: int, finish: Callable[[Placed], pa.Record
             seq_no = np.concatenate([h[0] for h in held])
             data = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            row = [[int(seq_no[0])], [part], [encoded(seq_no.view(np.uint64))], [encoded(sizes)], [len(data)], [pa.compress(data.tobytes(), codec="zstd", asbytes=True)]]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["first", "part", "seq_no", "sizes", "n", "text"])
+            names = [x for h in held for x in h[3]] if named else None
+            row = [[int(seq_no[0])], [part], [encoded(seq_no.view(np.uint64))], [encoded(sizes)], [len(data)], [pa.compress(data.tobytes(), codec="zstd", asbytes=True)], [names]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["first", "part", "seq_no", "sizes", "n", "text", "names"])
 
         for batch in batches:
             data, at = flat(batch.column("sequence"))
@@ -309,7 +313,7 @@ def placed_counts(reads: DataFrame, k: int, finish: Callable[[Placed], pa.Record
             begin = 0
             while begin < len(seq_no):
                 end = min(len(seq_no), max(begin + 1, int(np.searchsorted(at, at[begin] + block - size, "right")) - 1))
-                held.append((seq_no[begin:end], data[at[begin] : at[end]], np.diff(at[begin : end + 1])))
+                held.append((seq_no[begin:end], data[at[begin] : at[end]], np.diff(at[begin : end + 1]), batch.column(named).slice(begin, end - begin).to_pylist() if named else None))
                 size += int(at[end] - at[begin])
                 begin = end
                 if size >= block or begin < len(seq_no):
@@ -369,17 +373,17 @@ def placed_counts(reads: DataFrame, k: int, finish: Callable[[Placed], pa.Record
             found = np.concatenate([decoded(r["found"]) for r in rows[1:]]) if len(rows) > 1 else np.zeros(0, np.int64)
             counts = np.empty(len(keys), np.int64)
             counts[order] = found[group] + (np.arange(1, len(own) + 1) - np.flatnonzero(new)[group] if running else 0)
-            out = finish(Placed(seq_no, data, at, row, pos, keys, counts))
+            out = finish(Placed(seq_no, data, at, row, pos, keys, counts, rows[0]["names"]))
             for i in range(0, out.num_rows, BATCH):
                 yield out.slice(i, BATCH)
 
-    rows = reads.select(reads["seq_no"].cast("long").alias("seq_no"), "sequence")
+    rows = reads.select(F.col("seq_no").cast("long").alias("seq_no"), "sequence", *([named] if named else []))
     if running:
         rows = rows.repartitionByRange(n_parts, "seq_no").sortWithinPartitions("seq_no")
-    chunks = stored(rows.mapInArrow(chunk, "first long, part long, seq_no binary, sizes binary, n long, text binary"), "chunks")
+    chunks = stored(rows.mapInArrow(chunk, "first long, part long, seq_no binary, sizes binary, n long, text binary, names array<string>"), "chunks")
     found = chunks.select("first", "part", "sizes", "n", "text").mapInArrow(deal, "bucket int, first long, part long, keys binary, counts binary")
     found = found.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "first", "part").mapInArrow(answer, "first long, part long, bucket int, found binary")
-    both = chunks.selectExpr("first", "part", "-1 as bucket", "seq_no", "sizes", "n", "text", "cast(null as binary) as found").unionByName(
-        found.selectExpr("first", "part", "bucket", "cast(null as binary) as seq_no", "cast(null as binary) as sizes", "cast(null as long) as n", "cast(null as binary) as text", "found")
+    both = chunks.selectExpr("first", "part", "-1 as bucket", "seq_no", "sizes", "n", "text", "names", "cast(null as binary) as found").unionByName(
+        found.selectExpr("first", "part", "bucket", "cast(null as binary) as seq_no", "cast(null as binary) as sizes", "cast(null as long) as n", "cast(null as binary) as text", "cast(null as array<string>) as names", "found")
     )
     return both.repartition(n_parts, "first", "part").sortWithinPartitions("first", "part", "bucket").mapInArrow(back, schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -99,6 +100,21 @@ def test_filters_of_whole_reads(spark, monkeypatch):
     assert {tuple(r) for r in filters.read_segments(df, k, 2, True).collect()} == {(n, a, texts[n][a : b + k - 1]) for n, a, b in want}
 
 
+def test_counts_of_an_ordered_pass():
+    """A table of millions of keys takes each read in a time that does not grow with what it holds."""
+    r, counts, want = np.random.default_rng(1), filters._Counts(), Counter()
+    for _ in range(200):
+        keys = r.integers(0, 3000, 60)
+        assert counts.at_least(keys, 2) == sum(want[x] >= 2 for x in keys.tolist())
+        counts.add(keys)
+        want.update(keys.tolist())
+    began, counts = time.perf_counter(), filters._Counts()
+    for i in range(4000):
+        counts.add(np.arange(1000 * i, 1000 * (i + 1)) * 7919)
+    assert counts.at_least(np.arange(4_000_000) * 7919, 1) == counts.size == 4_000_000
+    assert time.perf_counter() - began < 20
+
+
 def test_sketches_of_groups(spark, monkeypatch):
     """The n least of each group, handed on in parts, with whole counts; a null group and null hashes."""
     monkeypatch.setattr(sketch, "HELD", 20)
