@@ -100,6 +100,17 @@ def test_filters_of_whole_reads(spark, monkeypatch):
     assert {tuple(r) for r in filters.read_segments(df, k, 2, True).collect()} == {(n, a, texts[n][a : b + k - 1]) for n, a, b in want}
 
 
+def test_summed_hashes(spark):
+    """Weighted counts of any longs, and of nulls, in blocks."""
+    r = random.Random(6)
+    rows = [(r.choice([None, -1, 2**63 - 1, -(2**63), *range(300)]), r.randrange(1, 1000)) for _ in range(3000)]
+    df, want = spark.createDataFrame(rows, "h long, n long").repartition(3), Counter()
+    for x, n in rows:
+        want[x] += n
+    assert {x.h: x["count"] for x in blocks.summed_hashes(df, "h", "n", block=200, n_buckets=8).collect()} == want
+    assert {x.h: x["count"] for x in blocks.summed_hashes(df, "h").collect()} == Counter(x for x, _ in rows)
+
+
 def test_counts_of_an_ordered_pass():
     """A table of millions of keys takes each read in a time that does not grow with what it holds."""
     r, counts, want = np.random.default_rng(1), filters._Counts(), Counter()
